@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edupulse.session import MAX_BROADCAST_ROWS, materialize
@@ -44,3 +44,38 @@ def with_surrogate_key(df: DataFrame, order_cols: Sequence[str], name: str = "id
     """Reproducible surrogate key 1..n in the order of ``order_cols``."""
     numbered = global_ordinal(df, order_by=order_cols, name=name)
     return numbered.withColumn(name, F.col(name) + 1)
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact median per column (NULLs skipped; the mean of two middle values when even).
+
+    Values are reduced to (column, value, count), range-partitioned, and counted per partition;
+    the driver sees one count per partition and column and the middle values themselves.
+    """
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_p")
+    placed = materialize(
+        df.select(pairs).select("_p.*").where(F.col("v").isNotNull())
+        .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        .repartitionByRange("c", "v").withColumn("_part", F.spark_partition_id()))
+    upto = Window.partitionBy("_part", "c").orderBy("v")
+    ranked = placed.withColumn("_upto", F.sum("n").over(upto))
+    totals: dict[str, list[tuple[int, int]]] = {}
+    for row in placed.groupBy("c", "_part").agg(F.sum("n").alias("n")).collect():
+        totals.setdefault(row["c"], []).append((row["_part"], row["n"]))
+
+    wanted = F.lit(False)
+    for column, parts in totals.items():
+        total, offset = sum(n for _, n in parts), 0
+        for part, n in sorted(parts):
+            for rank in {(total - 1) // 2, total // 2}:
+                if offset <= rank < offset + n:
+                    at = rank - offset
+                    wanted = wanted | (
+                        (F.col("c") == column) & (F.col("_part") == part)
+                        & (F.col("_upto") > at) & (F.col("_upto") - F.col("n") <= at))
+            offset += n
+    middle: dict[str, list[float]] = {}
+    for row in ranked.where(wanted).collect():
+        middle.setdefault(row["c"], []).append(row["v"])
+    return {c: sum(v) / len(v) if (v := middle.get(c)) else 0.0 for c in columns}

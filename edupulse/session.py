@@ -7,6 +7,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        configured = tempfile.mkdtemp(prefix="spark-")
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
@@ -56,3 +58,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers (as ``--py-files`` would), once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_edupulse_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "edupulse.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, Path("edupulse") / source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._edupulse_shipped = True
