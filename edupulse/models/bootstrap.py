@@ -48,7 +48,7 @@ def bootstrap_diff(
     """
     if df.where(F.col(reference).isNull() | F.col(challenger).isNull()).limit(1).count():
         raise ValueError("every row needs both predictions")
-    ship_package(df.sparkSession)
+    ship_package()
     diff = _loss(F.col(label).cast("boolean"), F.col(challenger)) - _loss(F.col(label).cast("boolean"), F.col(reference))
     students = df.groupBy(F.col(student).alias("student_id")).agg(F.sum(diff).alias("diff"), F.count(F.lit(1)).alias("n"))
     replicates = (

@@ -190,7 +190,7 @@ class ChainStore:
 
 def compress_chains(attempts: DataFrame, *, max_chain: int | None = None) -> ChainStore:
     """Outcome strings with counts, and the segments of over-long chains."""
-    ship_package(attempts.sparkSession)
+    ship_package()
     limit = max_chain or min(MAX_CHAIN, max_rows_per_group(attempts.sparkSession))
     rows = attempts.select(*CHAIN_KEYS, *ATTEMPT_ORDER, "correct")
     ordinary, hot = split_hot(rows, CHAIN_KEYS, ATTEMPT_ORDER, limit)

@@ -97,12 +97,12 @@ class BktRule:
 MasteryRule = EmaRule | BktRule
 
 
-def _sorted_attempts(order: Sequence[str], correct: str, payload: Sequence[str] = ()) -> Column:
+def sorted_attempts(order: Sequence[str], correct: str, payload: Sequence[str] = ()) -> Column:
     extra = [c for c in payload if c not in (*order, correct)]
     return F.sort_array(F.collect_list(F.struct(*order, F.col(correct).alias("_correct"), *extra)))
 
 
-def _fold(attempts: Column, start: Column, rule: MasteryRule) -> Column:
+def fold_attempts(attempts: Column, start: Column, rule: MasteryRule) -> Column:
     return F.aggregate(attempts, start, lambda m, x: rule.step(m, x["_correct"]))
 
 
@@ -153,15 +153,15 @@ def _matrix_product(attempts: Column, rule: MasteryRule) -> Column:
     return F.aggregate(attempts, identity, times)
 
 
-def _apply(mastery: Column, segment: Column) -> Column:
+def apply_segment(mastery: Column, segment: Column) -> Column:
     m = segment["matrix"]
     return _clamp((m["a"] * mastery + m["b"]) / (m["c"] * mastery + m["d"]))
 
 
-def _segments(hot: DataFrame, keys: Sequence[str], order: Sequence[str], correct: str, rule: MasteryRule) -> DataFrame:
+def segment_summaries(hot: DataFrame, keys: Sequence[str], order: Sequence[str], correct: str, rule: MasteryRule) -> DataFrame:
     """One row per hot chain: its segment summaries in order."""
     per_segment = hot.groupBy(*keys, SEGMENT).agg(
-        _matrix_product(_sorted_attempts(order, correct), rule).alias("matrix"),
+        _matrix_product(sorted_attempts(order, correct), rule).alias("matrix"),
         F.count(F.lit(1)).alias("n"),
         F.max(order[0]).alias("last"),
     )
@@ -182,15 +182,15 @@ def final_mastery(
     columns = [*dict.fromkeys([*keys, *order, correct])]
     ordinary, hot = split_hot(attempts.select(*columns), keys, order, max_rows)
     result = ordinary.groupBy(*keys).agg(
-        _fold(_sorted_attempts(order, correct), F.lit(rule.initial), rule).alias("mastery"),
+        fold_attempts(sorted_attempts(order, correct), F.lit(rule.initial), rule).alias("mastery"),
         F.count(F.lit(1)).alias("observation_count"),
         F.max(order[0]).alias("updated_at"),
     )
     if hot is None:
         return result
-    folded = _segments(hot, keys, order, correct, rule).select(
+    folded = segment_summaries(hot, keys, order, correct, rule).select(
         *keys,
-        F.aggregate("segments", F.lit(rule.initial), _apply).alias("mastery"),
+        F.aggregate("segments", F.lit(rule.initial), apply_segment).alias("mastery"),
         F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + s["n"]).alias("observation_count"),
         F.array_max(F.transform("segments", lambda s: s["last"])).alias("updated_at"),
     )
@@ -222,12 +222,12 @@ def mastery_before(
         before = running_values(F.col("_attempts"), start, lambda m, x: rule.step(m, x["_correct"]))
         return explode_rows(grouped.withColumn("_before", before))
 
-    collected = _sorted_attempts(order, correct, payload).alias("_attempts")
+    collected = sorted_attempts(order, correct, payload).alias("_attempts")
     result = trace(ordinary.groupBy(*keys).agg(collected), F.lit(rule.initial))
     if hot is not None:
         starts = (
-            _segments(hot, keys, order, correct, rule)
-            .withColumn("_start", running_values(F.col("segments"), F.lit(rule.initial), _apply))
+            segment_summaries(hot, keys, order, correct, rule)
+            .withColumn("_start", running_values(F.col("segments"), F.lit(rule.initial), apply_segment))
             .select(*keys, F.explode(F.arrays_zip("segments", "_start")).alias("_s"))
             .select(*keys, F.col(f"_s.segments.{SEGMENT}").alias(SEGMENT), F.col("_s._start").alias("_start"))
         )

@@ -41,9 +41,14 @@ def global_ordinal(df: DataFrame, *, order_by: Sequence[str], name: str = "ordin
 
 
 def with_surrogate_key(df: DataFrame, order_cols: Sequence[str], name: str = "id") -> DataFrame:
-    """Reproducible surrogate key 1..n in the order of ``order_cols``."""
-    numbered = global_ordinal(df, order_by=order_cols, name=name)
-    return numbered.withColumn(name, F.col(name) + 1)
+    """Surrogate key 1..n in the order of ``order_cols``.
+
+    Rows equal in all of them are interchangeable; they get consecutive keys and, through the
+    written tie-break, still spread over several range partitions.
+    """
+    tied = materialize(df.withColumn("_tie", F.monotonically_increasing_id()))
+    numbered = global_ordinal(tied, order_by=[*order_cols, "_tie"], name=name)
+    return numbered.withColumn(name, F.col(name) + 1).drop("_tie")
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:

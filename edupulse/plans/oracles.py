@@ -331,4 +331,8 @@ BODIES["twin_identity"] = """
     FROM (SELECT c_custkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('assistments:' || c_custkey::VARCHAR)) AS h
           FROM customer)"""
 
+# A finished stream holds what the batch query computes.
+BODIES["stream_mastery"] = BODIES["stream_advance"] = BODIES["bkt_mastery"]
+BODIES["stream_environment"] = BODIES["class_environment"]
+
 ORACLES: dict[str, str] = {name: with_views(body) for name, body in BODIES.items()}

@@ -6,10 +6,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
-import zipfile
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_MAX_ROWS_PER_GROUP = 1_000_000
@@ -23,6 +23,7 @@ def build_session(app_name: str = "edupulse", master: str | None = None, **conf:
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -60,15 +61,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers (as ``--py-files`` would), once per context."""
-    context = spark.sparkContext
-    if getattr(context, "_edupulse_shipped", False):
-        return
-    root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "edupulse.zip"
-    with zipfile.ZipFile(archive, "w") as bundle:
-        for source in sorted(root.rglob("*.py")):
-            bundle.write(source, Path("edupulse") / source.relative_to(root))
-    context.addPyFile(str(archive))
-    context._edupulse_shipped = True
+def ship_package() -> None:
+    """Sends this package's functions to Python workers by value, so that executors and streaming
+    runners need no copy of it on their path."""
+    cloudpickle.register_pickle_by_value(sys.modules["edupulse"])

@@ -57,6 +57,17 @@ def read_csv(
     return cast_to(raw, T.StructType([f for f in schema.fields if f.name in wanted]))
 
 
+def _text_rows(lines: DataFrame, header_line: str, names: Sequence[str]) -> DataFrame:
+    """Data lines parsed as CSV text columns; lines equal to the header are skipped."""
+    ddl = ", ".join(f"`{n}` string" for n in names)
+    data = lines.where((F.col("value") != header_line) & (F.trim("value") != ""))
+    return data.select(F.from_csv("value", ddl, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def _header_names(line: str) -> list[str]:
+    return [h.strip().strip('"') for h in line.split(",")]
+
+
 def read_quoted_csv(spark: SparkSession, path: str, schema: T.StructType, *, keep_raw: bool = False) -> DataFrame:
     """S3: a CSV whose whole lines are quoted with the inner quotes doubled.
 
@@ -70,34 +81,28 @@ def read_quoted_csv(spark: SparkSession, path: str, schema: T.StructType, *, kee
     first = lines.first()
     if first is None:
         raise ReadError(f"{path}: empty file")
-    names = [stored_name(h.strip().strip('"')) for h in first["value"].split(",")]
-    # The header is known by its text; it may start any of several files.
-    ddl = ", ".join(f"`{n}` string" for n in names)
-    rows = (lines.where((F.col("value") != first["value"]) & (F.col("value") != ""))
-            .select(F.from_csv("value", ddl, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
+    rows = _text_rows(lines, first["value"], [stored_name(h) for h in _header_names(first["value"])])
     return rows if keep_raw else cast_to(rows, schema)
 
 
 def read_tagged(
     spark: SparkSession, sources: Mapping[str, str], schema: T.StructType, *, tag: str = "source_file",
-    row_id: str = "source_row_id",
+    row_id: str = "source_row_id", date_name: str = "recorded_at",
 ) -> DataFrame:
-    """Several files of one layout with a leading unnamed row id, tagged and put together."""
+    """Several files of one layout with a leading row id, tagged and put together.
+
+    The header may leave the row id out or give it an empty name.
+    """
     parts = []
     for label, path in sources.items():
-        header = csv_header(spark, path)
-        first_line = spark.read.text(path).first()["value"]
-        # The header may or may not have an (empty) name for the row id.
-        names = [h.strip().strip('"') for h in first_line.split(",")]
-        data = [stored_name(n) for n in (names[1:] if names[0] == "" else names)]
-        data = ["recorded_at" if n == "date" else n for n in data]
-        if not header:
+        lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("value"))
+        first = lines.first()
+        if first is None:
             raise ReadError(f"{path}: empty file")
-        raw_schema = T.StructType([T.StructField(n, T.StringType()) for n in [row_id, *data]])
-        raw = spark.read.schema(raw_schema).option("header", False).option("mode", "FAILFAST").csv(path)
-        # Row ids are numbers; the header line is the one whose id is not.
-        rows = raw.where(F.col(row_id).rlike(r"^\d+$")).withColumn(tag, F.lit(label))
-        parts.append(cast_to(rows, schema))
+        header = _header_names(first["value"])
+        data = [date_name if h == "date" else stored_name(h) for h in (header if header[0] else header[1:])]
+        rows = _text_rows(lines, first["value"], [row_id, *data])
+        parts.append(cast_to(rows.withColumn(tag, F.lit(label)), schema))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -56,12 +56,13 @@ def compare(spark, con, sf_dir, name, query, sql):
 if __name__ == "__main__":
     from edupulse.session import build_session
 
-    from edupulse.plans.oracles import ORACLES
-    from edupulse.plans.queries import QUERIES
+    import __spark_entry__
+
+    QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
     sf = f"/root/testdata/{sys.argv[1] if len(sys.argv) > 1 else 'sf0.001'}"
     wanted = sys.argv[2:] or list(QUERIES)
-    session = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    session = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     connection = connect(sf)
     for n in wanted:
