@@ -21,7 +21,7 @@ from edupulse.operators.skew import split_hot
 
 def advance_mastery(
     states: DataFrame, attempts: DataFrame, rule: MasteryRule, *, keys: Sequence[str] = CHAIN_KEYS,
-    order: Sequence[str] = ATTEMPT_ORDER, correct: str = "correct", max_rows: int | None = None,
+    order: Sequence[str] = ATTEMPT_ORDER, correct: str = "correct", max_rows: float | None = None,
 ) -> DataFrame:
     """New states of the chains that have attempts; they fold on from the stored mastery.
 

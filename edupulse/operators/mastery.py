@@ -176,7 +176,7 @@ def final_mastery(
     keys: Sequence[str] = CHAIN_KEYS,
     order: Sequence[str] = ATTEMPT_ORDER,
     correct: str = "correct",
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """(keys, mastery, observation_count, updated_at): state of each chain after its last attempt."""
     columns = [*dict.fromkeys([*keys, *order, correct])]
@@ -204,7 +204,7 @@ def mastery_before(
     keys: Sequence[str] = CHAIN_KEYS,
     order: Sequence[str] = ATTEMPT_ORDER,
     correct: str = "correct",
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """All attempts with ``mastery_before``: the state just before each attempt."""
     ordinary, hot = split_hot(attempts, keys, order, max_rows)
@@ -236,17 +236,17 @@ def mastery_before(
     return result.select(*attempts.columns, "mastery_before")
 
 
-def ema_mastery(attempts: DataFrame, *, rate: float = 0.3, initial: float = 0.5, max_rows: int | None = None) -> DataFrame:
+def ema_mastery(attempts: DataFrame, *, rate: float = 0.3, initial: float = 0.5, max_rows: float | None = None) -> DataFrame:
     """K1: moving-average mastery per (student, skill)."""
     return final_mastery(attempts, EmaRule(rate, initial), max_rows=max_rows)
 
 
-def bkt_mastery(attempts: DataFrame, *, params: BktRule = BktRule(), max_rows: int | None = None) -> DataFrame:
+def bkt_mastery(attempts: DataFrame, *, params: BktRule = BktRule(), max_rows: float | None = None) -> DataFrame:
     """K2: knowledge-tracing mastery per (student, skill)."""
     return final_mastery(attempts, params, max_rows=max_rows)
 
 
-def bkt_trajectory(attempts: DataFrame, *, params: BktRule = BktRule(), max_rows: int | None = None) -> DataFrame:
+def bkt_trajectory(attempts: DataFrame, *, params: BktRule = BktRule(), max_rows: float | None = None) -> DataFrame:
     """K3: mastery and predicted P(correct) before each attempt."""
     traced = mastery_before(attempts, params, max_rows=max_rows)
     return traced.withColumn("predicted", params.predict(F.col("mastery_before")))

@@ -82,7 +82,7 @@ def constant_baseline(df: DataFrame, p: float, *, label: str = "correct") -> Dat
 
 
 def persistence_baseline(
-    df: DataFrame, first: float = 0.5, *, label: str = "correct", max_rows: int | None = None
+    df: DataFrame, first: float = 0.5, *, label: str = "correct", max_rows: float | None = None
 ) -> DataFrame:
     """K8: predict the previous outcome of the same chain, evaluated."""
     rows = previous_outcome(
@@ -141,16 +141,18 @@ def threshold_sweep(
     passed = functools.reduce(lambda a, b: a + b, [(F.col(prob) >= t).cast("int") for t in cuts])
     hit = F.col(label).cast("long")
     bins = scored_val.groupBy(passed.alias("_bin")).agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
-    # From here on there is one row: the counts of at most len(cuts) + 1 bins.
-    per_cut = [
-        F.struct(
-            F.lit(t).alias("threshold"),
-            F.sum(F.when(F.col("_bin") > i, F.col("pos")).otherwise(0)).alias("tp"),
-            F.sum(F.when(F.col("_bin") > i, F.col("neg")).otherwise(0)).alias("fp"),
-            F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-        for i, t in enumerate(cuts)
-    ]
-    counts = bins.agg(F.array(*per_cut).alias("_cuts"))
+    # From here on there is one row: at most len(cuts) + 1 bins.
+    counts = bins.agg(
+        F.collect_list(F.struct("_bin", "pos", "neg")).alias("_bins"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+
+    def above(i: Column, name: str) -> Column:
+        over = F.filter("_bins", lambda b: b["_bin"] > i)
+        return F.aggregate(over, F.lit(0).cast("long"), lambda acc, b: acc + b[name])
+
+    counts = counts.select(F.transform(
+        F.array(*[F.lit(t) for t in cuts]),
+        lambda t, i: F.struct(t.alias("threshold"), above(i, "pos").alias("tp"), above(i, "neg").alias("fp"),
+                              F.col("p").alias("p"), F.col("n").alias("n"))).alias("_cuts"))
 
     def with_rates(c: Column) -> Column:
         rates = _rates(c["tp"], c["fp"], c["n"] - c["fp"], c["p"] - c["tp"])

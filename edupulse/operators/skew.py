@@ -18,6 +18,7 @@ from edupulse.session import MAX_BROADCAST_ROWS, materialize, max_rows_per_group
 
 SEGMENT = "_segment"
 MAX_SEGMENTS = 20_000
+UNSPLIT = math.inf  # as max_rows: the caller knows that no key needs splitting
 
 
 def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
@@ -27,8 +28,25 @@ def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: st
     return condition
 
 
+def _hot_counts(df: DataFrame, keys: Sequence[str], limit: float) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+
+
+def group_limit(df: DataFrame, keys: Sequence[str], max_rows: float | None = None) -> float:
+    """``UNSPLIT`` when no key of ``df`` is above the limit, else the limit.
+
+    Pass the result as ``max_rows`` to operators on the same rows with these keys or finer ones,
+    so that the counting is done once.
+    """
+    limit = max_rows or max_rows_per_group(df.sparkSession)
+    if limit == UNSPLIT:
+        return UNSPLIT
+    # One aggregate row, so the check is a single job.
+    return limit if _hot_counts(df, keys, limit).agg(F.count(F.lit(1))).first()[0] else UNSPLIT
+
+
 def split_hot(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: float | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """``(ordinary, hot)``: rows of keys within the limit, and segmented rows of the others.
 
@@ -36,22 +54,17 @@ def split_hot(
     the key columns. ``order`` must be a total order within a key, or segments cannot be cut.
     """
     limit = max_rows or max_rows_per_group(df.sparkSession)
+    if limit == UNSPLIT:
+        return df, None
     prefix = "_hot_"
-    counts = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > limit)
-        .select(*[F.col(k).alias(prefix + k) for k in keys], "_rows")
-    )
-    found = counts.limit(MAX_BROADCAST_ROWS + 1).collect()
+    counts = _hot_counts(df, keys, limit).select(*[F.col(k).alias(prefix + k) for k in keys], "_rows")
+    found, total = counts.agg(F.count(F.lit(1)), F.sum("_rows")).first()
     if not found:
         return df, None
-    if len(found) <= MAX_BROADCAST_ROWS:
-        total = sum(row["_rows"] for row in found)
-        hot_keys = F.broadcast(df.sparkSession.createDataFrame(found, counts.schema))
+    if found <= MAX_BROADCAST_ROWS:
+        hot_keys = F.broadcast(df.sparkSession.createDataFrame(counts.collect(), counts.schema))
     else:
         hot_keys = materialize(counts)
-        total = hot_keys.agg(F.sum("_rows")).first()[0]
     condition = _same_key(df, hot_keys, keys, prefix)
     ordinary = df.join(hot_keys, condition, "left_anti")
     segments = min(max(math.ceil(total / limit), 2), MAX_SEGMENTS)
@@ -99,7 +112,7 @@ def lookback_window(
     order: Sequence[str],
     n: int,
     add: Callable[[DataFrame, WindowSpec], DataFrame],
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """Window columns that look at most ``n`` rows back within a key.
 
@@ -121,7 +134,7 @@ def running_totals(
     keys: Sequence[str],
     order: Sequence[str],
     totals: dict[str, Column],
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """Adds, per key, the sum of each expression over all *earlier* rows (0 at the first row)."""
     ordinary, hot = split_hot(df, keys, order, max_rows)

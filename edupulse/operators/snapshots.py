@@ -61,7 +61,7 @@ def performance_snapshot(
 
 def attendance_snapshot(
     attendance: DataFrame, *, window: int = 10, threshold: float = 0.10, tie_break: Sequence[str] = (),
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """Per school day the previous rate and the trailing mean and sample deviation over
     the ``window`` days before it; days without a full window are left out."""

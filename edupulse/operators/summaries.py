@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,7 +128,8 @@ def class_assessment(students: DataFrame, rosters: DataFrame) -> DataFrame:
 
 def environment_summary(readings: DataFrame, *, key: str = "sensor_id", tie_break: Sequence[str] = ()) -> DataFrame:
     """Reading count, means, and the battery level at the latest reading."""
-    latest = F.struct("recorded_at", *tie_break)
+    # A struct as order keeps the aggregate from hashing; only used with a tie-break.
+    latest = F.struct("recorded_at", *tie_break) if tie_break else F.col("recorded_at")
     return readings.groupBy(key).agg(
         F.count(F.lit(1)).alias("reading_count"),
         F.avg("temperature_c").alias("average_temperature_c"),
@@ -153,13 +154,16 @@ def class_as_of(students: DataFrame, rosters: DataFrame, readings: DataFrame | N
     return times.groupBy("class_id").agg(F.max("as_of").alias("as_of"))
 
 
-def class_state(rosters: DataFrame, states: DataFrame, *, cap: int = 15) -> tuple[DataFrame, DataFrame]:
+def class_state(
+    rosters: DataFrame, states: DataFrame, *, cap: int = 15, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> tuple[DataFrame, DataFrame]:
     """``(classes, mastery)`` for every class at once.
 
     ``classes``: roster counts, topics observed and the last update; ``mastery``: A8 over the
     capped roster. A student's mastery is computed once and joined to each of their classes.
+    ``keep`` may write the class mastery (one row per class and topic), which both tables read.
     """
-    mastery = class_mastery_with_time(states, cap_roster(rosters, cap=cap))
+    mastery = keep(class_mastery_with_time(states, cap_roster(rosters, cap=cap)))
     observed = mastery.groupBy("class_id").agg(
         F.count(F.lit(1)).alias("topics_observed"), F.max("as_of").alias("as_of"))
     classes = roster_counts(rosters, cap=cap).join(observed, "class_id", "left").withColumn(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from edupulse.functions.scalars import ratio
 from edupulse.operators.mastery import ATTEMPT_ORDER, CHAIN_KEYS, BktRule, mastery_before
 from edupulse.operators.sizes import broadcast_if_small
-from edupulse.operators.skew import lookback_window, running_totals
+from edupulse.operators.skew import group_limit, lookback_window, running_totals
 
 UNSEEN_SKILL_DIFFICULTY = 0.5
 NUMERIC_FEATURES = [
@@ -26,9 +26,10 @@ NUMERIC_FEATURES = [
 INDICATOR_FEATURES = ["has_prior_student_attempt", "has_prior_skill_attempt"]
 
 
-def history_counts(attempts: DataFrame, *, max_rows: int | None = None) -> DataFrame:
+def history_counts(attempts: DataFrame, *, max_rows: float | None = None) -> DataFrame:
     """Attempts and correct rate so far, per student and per (student, skill), attempts
     since the skill was last seen, and history indicators. Nothing at or after the row counts."""
+    max_rows = group_limit(attempts, ["student_id"], max_rows)
     one, right = F.lit(1).cast("long"), F.col("correct").cast("long")
     rows = running_totals(
         attempts, ["student_id"], ATTEMPT_ORDER,
@@ -51,7 +52,7 @@ def history_counts(attempts: DataFrame, *, max_rows: int | None = None) -> DataF
 
 def transitions(
     df: DataFrame, *, key: Sequence[str], order: Sequence[str], value: str, name: str = "is_transition",
-    max_rows: int | None = None,
+    max_rows: float | None = None,
 ) -> DataFrame:
     """Whether a value differs from the row before; the first row of a key never does."""
     def add(rows: DataFrame, window: Window) -> DataFrame:
@@ -62,7 +63,7 @@ def transitions(
 
 def previous_outcome(
     df: DataFrame, *, key: Sequence[str], order: Sequence[str], value: str, first: float | Column | None,
-    name: str = "previous", max_rows: int | None = None,
+    name: str = "previous", max_rows: float | None = None,
 ) -> DataFrame:
     """The outcome of the row before; ``first`` (a constant, or None for the row's own value)
     at the start of a key."""
@@ -75,13 +76,15 @@ def previous_outcome(
 
 
 def kt_features(
-    attempts: DataFrame, *, difficulty: DataFrame, params: BktRule = BktRule(), max_rows: int | None = None
+    attempts: DataFrame, *, difficulty: DataFrame, params: BktRule = BktRule(), max_rows: float | None = None
 ) -> DataFrame:
     """K9: one causal feature row per attempt.
 
     ``difficulty`` must come from training students only and be reused unchanged for every split.
     """
-    rows = history_counts(attempts.select(*CHAIN_KEYS, *ATTEMPT_ORDER, "correct"), max_rows=max_rows)
+    attempts = attempts.select(*CHAIN_KEYS, *ATTEMPT_ORDER, "correct")
+    max_rows = group_limit(attempts, ["student_id"], max_rows)
+    rows = history_counts(attempts, max_rows=max_rows)
     rows = mastery_before(rows, params, max_rows=max_rows).withColumnRenamed("mastery_before", "bkt_mastery_before")
     return rows.join(broadcast_if_small(difficulty), "topic_id", "left").fillna(
         UNSEEN_SKILL_DIFFICULTY, subset=["skill_train_difficulty"])

@@ -12,6 +12,7 @@ from edupulse.operators.decision import decision_support
 from edupulse.operators.mastery import BktRule, bkt_mastery
 from edupulse.operators.recommend import class_recommendation, problem_topk, skill_priority
 from edupulse.operators.summaries import class_state
+from edupulse.session import materialize
 
 
 @dataclass
@@ -29,10 +30,13 @@ def classroom_report(
     attempts: DataFrame, student_classes: DataFrame, problems: DataFrame, *, params: BktRule = BktRule(),
     cap: int = 15, source_dataset: str = "assistments", context: DataFrame | None = None,
 ) -> ClassroomReport:
-    """D1-D3. Eligibility comes from the states: a student with a state has a scoreable attempt."""
-    states = bkt_mastery(attempts, params=params)
+    """D1-D3. Eligibility comes from the states: a student with a state has a scoreable attempt.
+
+    States and class mastery feed several tables, so each is computed and written once.
+    """
+    states = materialize(bkt_mastery(attempts, params=params))
     rosters = class_rosters(states, student_classes)
-    classes, mastery = class_state(rosters, states, cap=cap)
+    classes, mastery = class_state(rosters, states, cap=cap, keep=materialize)
     priorities = skill_priority(mastery)
     recommendation = class_recommendation(priorities, problem_topk(problems_by_skill(problems)))
     decision = decision_support(
@@ -42,7 +46,7 @@ def classroom_report(
 
 def class_skill_priorities(attempts: DataFrame, student_classes: DataFrame, *, cap: int = 15) -> DataFrame:
     """The flagship query: every class's reliable skills, weakest first."""
-    states = bkt_mastery(attempts)
+    states = materialize(bkt_mastery(attempts))
     _, mastery = class_state(class_rosters(states, student_classes), states, cap=cap)
     return skill_priority(mastery).select(
         "class_id", "priority_rank", "topic_id", F.round("average_mastery", 6).alias("average_mastery"),

@@ -99,14 +99,15 @@ def assessments(spark: SparkSession, d: str) -> DataFrame:
 def submissions(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem").join(
         table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    row = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount")
-    first = line.groupBy("l_partkey", "o_custkey").agg(F.min(row).alias("r"))
+    first = line.groupBy("l_partkey", "o_custkey").agg(
+        F.min("l_quantity").alias("day"), F.min("l_extendedprice").alias("price"),
+        F.max("l_linenumber").alias("line"), F.max("l_discount").alias("discount"))
     return first.select(
         F.col("l_partkey").alias("id_assessment"),
         F.col("o_custkey").alias("id_student"),
-        F.col("r.l_quantity").cast("long").alias("date_submitted"),
-        F.when(F.col("r.l_linenumber") != 7, F.floor(F.col("r.l_extendedprice")) % 101).cast("double").alias("score"),
-        (F.col("r.l_discount") >= 0.09).alias("is_banked"),
+        F.col("day").cast("long").alias("date_submitted"),
+        F.when(F.col("line") != 7, F.floor("price") % 101).cast("double").alias("score"),
+        (F.col("discount") >= 0.09).alias("is_banked"),
     )
 
 

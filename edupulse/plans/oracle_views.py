@@ -47,12 +47,10 @@ VIEW_SQL = {
                      ['TMA', 'CMA', 'Exam'][p_size % 3 + 1] AS assessment_type, CAST(p_size AS BIGINT) AS p_size
               FROM part)""",
     "submissions": """
-        SELECT l_partkey AS id_assessment, o_custkey AS id_student, CAST(l_quantity AS BIGINT) AS date_submitted,
-               CASE WHEN l_linenumber <> 7 THEN CAST(floor(l_extendedprice) AS BIGINT) % 101 END::DOUBLE AS score,
-               l_discount >= 0.09 AS is_banked
-        FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, o_custkey ORDER BY l_orderkey, l_linenumber,
-                     l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount) AS rn
-              FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE rn = 1""",
+        SELECT l_partkey AS id_assessment, o_custkey AS id_student, CAST(min(l_quantity) AS BIGINT) AS date_submitted,
+               CASE WHEN max(l_linenumber) <> 7 THEN CAST(floor(min(l_extendedprice)) AS BIGINT) % 101 END::DOUBLE AS score,
+               max(l_discount) >= 0.09 AS is_banked
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "raw_clicks": """
         SELECT code_module, code_presentation, id_student, l_suppkey AS id_site, l_partkey % 60 AS date,
                CAST(l_quantity AS BIGINT) AS sum_click
