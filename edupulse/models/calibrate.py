@@ -42,16 +42,17 @@ def _emissions(bits: np.ndarray, rule: BktRule) -> tuple[np.ndarray, np.ndarray]
 
 
 def chain_statistics(
-    bits: np.ndarray, weight: np.ndarray, rule: BktRule,
+    bits: np.ndarray, lengths: np.ndarray, weight: np.ndarray, rule: BktRule,
     before: np.ndarray | None = None, after: np.ndarray | None = None,
     first: np.ndarray | None = None, last: np.ndarray | None = None,
 ) -> np.ndarray:
-    """Expected counts of a (chains x length) 0/1 array, in the order of ``SUMS``.
+    """Expected counts of chains in the order of ``SUMS``.
 
-    ``before`` is the state distribution before the first outcome and ``after`` the evidence after
-    the last one, for segments of longer chains; whole chains need neither.
+    ``bits`` is chains x longest length, padded at the end. ``before`` is the state distribution
+    before the first outcome and ``after`` the evidence after the last one, for segments of longer
+    chains; whole chains need neither.
     """
-    n, length = bits.shape
+    n, longest = bits.shape
     t = rule.transit
     e0, e1 = _emissions(bits, rule)
     if before is None:
@@ -60,9 +61,9 @@ def chain_statistics(
     first = np.ones(n, bool) if first is None else first
     last = np.ones(n, bool) if last is None else last
 
-    f0, f1 = np.empty((length, n)), np.empty((length, n))  # filtered state, scaled to sum to 1
+    f0, f1 = np.empty((longest, n)), np.empty((longest, n))  # filtered state, scaled to sum to 1
     p0, p1 = before[:, 0], before[:, 1]
-    for i in range(length):
+    for i in range(longest):
         a0, a1 = p0 * e0[:, i], p1 * e1[:, i]
         total = a0 + a1
         f0[i], f1[i] = a0 / total, a1 / total
@@ -70,28 +71,32 @@ def chain_statistics(
 
     sums = np.zeros(len(SUMS))
     b0, b1 = ends[:, 0], ends[:, 1]
-    for i in range(length - 1, -1, -1):
+    known_next = np.ones(n)
+    for i in range(longest - 1, -1, -1):
+        live, inner = lengths > i, lengths > i + 1
         norm = f0[i] * b0 + f1[i] * b1
-        g0, g1 = f0[i] * b0 / norm * weight, f1[i] * b1 / norm * weight
+        w = np.where(live, weight, 0.0)
+        g0, g1 = f0[i] * b0 / norm * w, f1[i] * b1 / norm * w
         right = bits[:, i]
         sums[7] += g0.sum()
         sums[5] += g1.sum()
         sums[6] += g0[right].sum()
         sums[4] += g1[~right].sum()
-        # The step out of outcome i, unless it ends its chain; b1 is the evidence of arriving known.
-        moves = np.ones(n, bool) if i < length - 1 else ~last
-        if moves.any():
-            arrive = after_known if i < length - 1 else b1
-            sums[2] += (f0[i] * t * arrive / norm * weight)[moves].sum()
-            sums[3] += g0[moves].sum()
+        # The step out of outcome i, unless it ends its chain. At the end of a segment the
+        # evidence of arriving known is the one handed in.
+        moves = inner | ~last
+        arrive = np.where(inner, known_next, b1)
+        sums[2] += (f0[i] * t * arrive / norm * w)[moves].sum()
+        sums[3] += g0[moves].sum()
         if i == 0:
             sums[0] += g1[first].sum()
-            sums[1] += weight[first].sum()
-        after_known = e1[:, i] * b1
-        after_unknown = e0[:, i] * b0
-        b0 = (1.0 - t) * after_unknown + t * after_known
-        scale = np.maximum(b0, after_known)
-        b0, b1, after_known = b0 / scale, after_known / scale, after_known / scale
+            sums[1] += w[first].sum()
+        known, unknown = e1[:, i] * b1, e0[:, i] * b0
+        back = (1.0 - t) * unknown + t * known
+        scale = np.maximum(back, known)
+        b0 = np.where(live, back / scale, b0)
+        b1 = np.where(live, known / scale, b1)
+        known_next = known / scale
     return sums
 
 
@@ -107,29 +112,43 @@ def transfer_matrix(bits: np.ndarray, rule: BktRule) -> tuple[float, float, floa
     return m00, m01, m11
 
 
-def _as_array(strings: Sequence[str]) -> np.ndarray:
-    joined = np.frombuffer("".join(strings).encode(), dtype=np.uint8)
-    return joined.reshape(len(strings), -1) == ord("1")
+def _as_array(strings: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Padded 0/1 array and the lengths of outcome strings."""
+    lengths = np.array([len(x) for x in strings])
+    bits = np.zeros((len(strings), lengths.max()), bool)
+    bits[np.arange(bits.shape[1]) < lengths[:, None]] = np.frombuffer("".join(strings).encode(), np.uint8) == ord("1")
+    return bits, lengths
+
+
+def _blocks(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of similar length together, a bounded number of outcomes at a time."""
+    lengths = frame["bits"].str.len().to_numpy()
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        shortest = lengths[order[at]]
+        longest = shortest + shortest // 4 + 4
+        end = at + int(np.searchsorted(lengths[order[at:]], longest, side="right"))
+        end = min(end, at + max(1, _BLOCK_CELLS // int(longest)))
+        yield frame.iloc[order[at:end]]
+        at = end
 
 
 def _e_step(rule: BktRule):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(len(SUMS))
         for frame in frames:
-            for length, group in frame.groupby(frame["bits"].str.len()):
-                step = max(1, _BLOCK_CELLS // int(length))
-                for at in range(0, len(group), step):
-                    part = group.iloc[at : at + step]
-                    extra = {}
-                    if "before0" in part:
-                        extra = {
-                            "before": part[["before0", "before1"]].to_numpy(),
-                            "after": part[["after0", "after1"]].to_numpy(),
-                            "first": part["first"].to_numpy(bool),
-                            "last": part["last"].to_numpy(bool),
-                        }
-                    sums += chain_statistics(
-                        _as_array(part["bits"].tolist()), part["weight"].to_numpy(float), rule, **extra)
+            for part in _blocks(frame):
+                extra = {}
+                if "before0" in part:
+                    extra = {
+                        "before": part[["before0", "before1"]].to_numpy(),
+                        "after": part[["after0", "after1"]].to_numpy(),
+                        "first": part["first"].to_numpy(bool),
+                        "last": part["last"].to_numpy(bool),
+                    }
+                sums += chain_statistics(
+                    *_as_array(part["bits"].tolist()), part["weight"].to_numpy(float), rule, **extra)
         yield pd.DataFrame([sums], columns=SUMS)
 
     return run
@@ -139,7 +158,7 @@ def _with_context(segments: DataFrame, rule: BktRule) -> DataFrame:
     """Segments with the state before and the evidence after each, for the current parameters."""
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            cells = [transfer_matrix(_as_array([b])[0], rule) for b in frame["bits"]]
+            cells = [transfer_matrix(_as_array([b])[0][0], rule) for b in frame["bits"]]
             yield frame[[*CHAIN_KEYS, SEGMENT]].assign(**{
                 name: [c[i] for c in cells] for i, name in enumerate(("m00", "m01", "m11"))})
 
