@@ -16,11 +16,14 @@ from edupulse.operators.mastery import ATTEMPT_ORDER, CHAIN_KEYS
 from edupulse.operators.windows import previous_outcome
 
 LOG_CLIP = 1e-9
+# Scores equal to this many places count as tied, so that the last bits of a score, which depend
+# on how a long chain was split, cannot break ties.
+TIE_PLACES = 12
 
 
 def _per_score(df: DataFrame, label: str, prob: str) -> DataFrame:
     return (
-        df.select(F.col(prob).cast("double").alias("p"), F.col(label).cast("int").alias("y"))
+        df.select(F.round(F.col(prob).cast("double"), TIE_PLACES).alias("p"), F.col(label).cast("int").alias("y"))
         .groupBy("p")
         .agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((1 - F.col("y")).cast("long")).alias("neg"))
     )

@@ -62,7 +62,9 @@ if __name__ == "__main__":
 
     sf = f"/root/testdata/{sys.argv[1] if len(sys.argv) > 1 else 'sf0.001'}"
     wanted = sys.argv[2:] or list(QUERIES)
-    session = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+    session = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
+        # A low limit sends almost every key through the split paths.
+        "spark.edupulse.maxRowsPerGroup": os.environ.get("MAX_ROWS", "1000000")})
     session.sparkContext.setLogLevel("ERROR")
     connection = connect(sf)
     for n in wanted:
