@@ -247,6 +247,10 @@ def bkt_mastery(attempts: DataFrame, *, params: BktRule = BktRule(), max_rows: f
 
 
 def bkt_trajectory(attempts: DataFrame, *, params: BktRule = BktRule(), max_rows: float | None = None) -> DataFrame:
-    """K3: mastery and predicted P(correct) before each attempt."""
+    """K3: mastery and predicted P(correct) before each attempt.
+
+    Predictions keep 12 places: the last bits depend on how a long chain was split, and must not
+    break ties between equal histories.
+    """
     traced = mastery_before(attempts, params, max_rows=max_rows)
-    return traced.withColumn("predicted", params.predict(F.col("mastery_before")))
+    return traced.withColumn("predicted", F.round(params.predict(F.col("mastery_before")), 12))

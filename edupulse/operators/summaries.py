@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from edupulse.functions.scalars import ratio
 from edupulse.operators.attempts import cap_roster, roster_counts
+from edupulse.operators.skew import running_totals
 
 
 def _trend(recent: Column, earlier: Column, eps: float, up: str, down: str) -> Column:
@@ -81,6 +82,22 @@ def student_assessment(
     )
 
 
+def event_timeline(
+    interactions: DataFrame, results: DataFrame, *, interaction_id: str = "event_id", result_id: str = "assessment_id",
+    max_rows: float | None = None,
+) -> DataFrame:
+    """T4: both kinds of events of a student in one order (time, then kind and id), numbered from 0."""
+    parts = [
+        interactions.select("student_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("interaction").alias("kind"),
+                            F.col(interaction_id).cast("string").alias("source_id")),
+        results.select("student_id", F.col("submitted_at").cast("timestamp").alias("ts"), F.lit("result").alias("kind"),
+                       F.col(result_id).cast("string").alias("source_id")),
+    ]
+    order = ["ts", "kind", "source_id"]
+    return running_totals(
+        reduce(DataFrame.unionByName, parts), ["student_id"], order, {"position": F.lit(1).cast("long")}, max_rows)
+
+
 def student_totals(states: DataFrame, interactions: DataFrame, results: DataFrame) -> DataFrame:
     """Observation total and the time of the last event of either kind, per student."""
     parts = [

@@ -236,6 +236,11 @@ BODIES: dict[str, str] = {
             SELECT student_id, observation_count AS n, NULL::TIMESTAMP AS t FROM states
             UNION ALL SELECT student_id, 0, ts FROM interactions
             UNION ALL SELECT student_id, 0, submitted_at FROM assessment_results) GROUP BY 1""",
+    "event_timeline": f"""
+        SELECT student_id, strftime(ts, {TS}) AS ts, kind, source_id,
+               row_number() OVER (PARTITION BY student_id ORDER BY ts, kind, source_id) - 1 AS position
+        FROM (SELECT student_id, ts, 'interaction' AS kind, event_id::VARCHAR AS source_id FROM interactions
+              UNION ALL SELECT student_id, submitted_at, 'result', assessment_id::VARCHAR FROM assessment_results)""",
     "class_roster": "SELECT class_id, student_id FROM capped",
     "class_roster_counts": "SELECT * FROM class_counts",
     "class_mastery": """SELECT class_id, topic_id, round(average_mastery, 6) AS average_mastery, observation_count

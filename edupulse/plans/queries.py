@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from edupulse.functions.identity import uuid5_col
 from edupulse.operators import aggregates, attempts as att, clean, decision, mastery, metrics, quality, recommend
 from edupulse.operators import snapshots, splits, summaries, windows
+from edupulse.operators.ordinal import with_surrogate_key
 from edupulse.plans import driver_tables as v
 from edupulse.plans.classroom import class_skill_priorities, classroom_report
 from edupulse.sources.tables import delete_keys, upsert_latest
@@ -190,6 +191,11 @@ def student_totals(spark, d):
     return publish(summaries.student_totals(states, v.interactions(spark, d), v.assessment_results(spark, d)))
 
 
+@query
+def event_timeline(spark, d):
+    return publish(summaries.event_timeline(v.interactions(spark, d), v.assessment_results(spark, d)))
+
+
 def _rosters(spark, d):
     return att.class_rosters(v.attempts(spark, d), v.student_classes(spark, d))
 
@@ -398,7 +404,6 @@ def key_split(spark, d):
 
 @query
 def surrogate_key(spark, d):
-    from edupulse.operators.ordinal import with_surrogate_key
     rows = v.attempts(spark, d).select("student_id", "ts", "event_id")
     return publish(with_surrogate_key(rows, ["student_id", "ts", "event_id"], "id").select("event_id", "id"))
 

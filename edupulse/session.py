@@ -28,6 +28,7 @@ def build_session(app_name: str = "edupulse", master: str | None = None, **conf:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -43,9 +44,8 @@ def max_rows_per_group(spark: SparkSession) -> int:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only for a local session without any."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
-    if current:
+    configured, current = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
+    if current and (not configured or configured.rstrip("/") in current):
         return current
     if not configured:
         if not context.master.startswith("local"):

@@ -65,3 +65,13 @@ def test_parameter_domains():
     for bad in (dict(rate=0.0), dict(rate=1.5), dict(initial=-1.0)):
         with pytest.raises(ValueError):
             EmaRule(**bad)
+
+
+def test_many_hot_keys_are_not_broadcast(spark, monkeypatch):
+    from edupulse.operators import skew
+
+    monkeypatch.setattr(skew, "MAX_BROADCAST_ROWS", 1)
+    chains = random_chains(hot=300)
+    df = attempts_frame(spark, chains)
+    got = {(r.student_id, r.topic_id): r.mastery for r in bkt_mastery(df, max_rows=40).collect()}
+    assert got == pytest.approx({k: bkt_python(seq)[1] for k, seq in by_chain(chains).items()}, abs=1e-9)

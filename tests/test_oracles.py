@@ -29,3 +29,13 @@ def test_iterative_query_has_rows(spark, name):
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", ["bkt_trajectory", "attendance_snapshot", "event_timeline"])
+def test_split_keys_give_the_same_rows(spark, con, name):
+    """With a low row limit most keys go through the segment paths."""
+    spark.conf.set("spark.edupulse.maxRowsPerGroup", "25")
+    try:
+        assert compare(spark, con, SF, name, QUERIES[name], ORACLES[name]) is None
+    finally:
+        spark.conf.unset("spark.edupulse.maxRowsPerGroup")
