@@ -47,10 +47,15 @@ def with_balanced_weights(df: DataFrame, *, label: str = "label", name: str = "w
 
 
 def _fit(train: DataFrame, features: FeatureSet, make_classifier: Callable[[float], Any], balanced: bool) -> PipelineModel:
-    rows = _labelled(train, features)
-    rows, total = with_balanced_weights(rows) if balanced else (rows.withColumn("weight", F.lit(1.0)), float(rows.count()))
-    prepare = fit_preprocess(rows, categorical=features.categorical, numeric=features.numeric)
-    classifier = make_classifier(total).fit(prepare.transform(rows).select("features", "label", "weight"))
+    # Counts, medians, moments, indexers and the learner each read the training rows.
+    rows = _labelled(train, features).select(*features.features, "label").persist()
+    try:
+        weighted, total = (
+            with_balanced_weights(rows) if balanced else (rows.withColumn("weight", F.lit(1.0)), float(rows.count())))
+        prepare = fit_preprocess(rows, categorical=features.categorical, numeric=features.numeric)
+        classifier = make_classifier(total).fit(prepare.transform(weighted).select("features", "label", "weight"))
+    finally:
+        rows.unpersist()
     return PipelineModel(stages=[prepare, classifier])
 
 
