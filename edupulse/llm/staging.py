@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -35,9 +36,10 @@ def ship_library(spark: SparkSession) -> None:
     context = spark.sparkContext
     if sent != context.applicationId:
         package = Path(__file__).resolve().parents[1]
-        with tempfile.TemporaryDirectory() as folder:
-            name = shutil.make_archive(f"{folder}/edupulse-library", "zip", package.parent, package.name)
-            context.addPyFile(name)
+        # Executors fetch the file from the driver whenever they start, so it stays as long as the driver.
+        folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{folder}/edupulse-library", "zip", package.parent, package.name))
         ship_library.sent = context.applicationId
 
 
