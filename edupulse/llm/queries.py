@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edupulse.llm import decontamination, packing, quality_rules, sharding, simhash, token_store
+from edupulse.llm import decontamination, extraction, packing, quality_rules, sharding, simhash, substrings, surrogates, token_store, toxicity
 from edupulse.llm.staging import ship_library, table
 
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
@@ -44,6 +49,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.read_store(spark, path))
 
 
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_pii_surrogates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
