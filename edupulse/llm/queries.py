@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edupulse.llm import decontamination, extraction, packing, quality_rules, sharding, simhash, substrings, surrogates, token_store, toxicity
+from edupulse.llm.oracles import ORACLES  # noqa: F401
 from edupulse.llm.staging import ship_library, table
 
-ORACLES: dict[str, str] = {}
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
