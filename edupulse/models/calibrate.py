@@ -188,7 +188,7 @@ def _with_context(segments: DataFrame, rule: BktRule) -> DataFrame:
             before0=before[:, 0], before1=before[:, 1], after0=after[:, 0], after1=after[:, 1],
             first=place == 0, last=place == len(cells) - 1)
 
-    # A chain has at most MAX_SEGMENTS of these three-number rows.
+    # One three-number row per segment: a millionth of the rows of a chain at the default limit.
     context = per_segment.groupBy(*CHAIN_KEYS).applyInPandas(
         thread, f"{keys}, before0 double, before1 double, after0 double, after1 double, first boolean, last boolean")
     return join_segment_values(segments, context, CHAIN_KEYS)

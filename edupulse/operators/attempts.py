@@ -39,20 +39,25 @@ def class_rosters(attempt_rows: DataFrame, student_classes: DataFrame) -> DataFr
     return members.join(eligible_students(attempt_rows), "student_id", "left_semi")
 
 
-def cap_roster(rosters: DataFrame, *, cap: int = 15) -> DataFrame:
-    """Per class the ``cap`` lowest student ids (a partial top-k runs before the shuffle)."""
+ROSTER_CAP = 15
+
+
+def cap_roster(rosters: DataFrame, *, cap: int | None = None) -> DataFrame:
+    """Per class the ``cap`` lowest student ids (a partial top-k runs before the shuffle); all without a cap."""
+    if cap is None:
+        return rosters
     by_id = Window.partitionBy("class_id").orderBy("student_id")
     return rosters.withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= cap).drop("_n")
 
 
-def roster_counts(rosters: DataFrame, *, cap: int = 15) -> DataFrame:
+def roster_counts(rosters: DataFrame, *, cap: int | None = None) -> DataFrame:
     """Students used and eligible per class, and whether the cap applied."""
     eligible = rosters.groupBy("class_id").agg(F.count(F.lit(1)).alias("students_eligible"))
     return eligible.select(
         "class_id",
-        F.least("students_eligible", F.lit(cap).cast("long")).alias("students_used"),
+        F.least("students_eligible", F.lit(cap).cast("long")).alias("students_used"),  # least skips a missing cap
         "students_eligible",
-        (F.col("students_eligible") > cap).alias("roster_capped"),
+        F.coalesce(F.col("students_eligible") > F.lit(cap).cast("long"), F.lit(False)).alias("roster_capped"),
     )
 
 

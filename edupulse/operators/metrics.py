@@ -18,9 +18,17 @@ from edupulse.operators.windows import previous_outcome
 LOG_CLIP = 1e-9
 
 
+def _scorable(df: DataFrame, label: str, prob: str) -> DataFrame:
+    """(p, y); a row that cannot be scored is an error, not a row less."""
+    p, y = F.col(prob).cast("double"), F.col(label).cast("int")
+    missing = p.isNull() | F.isnan(p) | y.isNull()
+    refused = F.raise_error(F.lit(f"missing {prob} or {label}")).cast("double")
+    return df.select(F.when(missing, refused).otherwise(p).alias("p"), y.alias("y"))
+
+
 def _per_score(df: DataFrame, label: str, prob: str) -> DataFrame:
     return (
-        df.select(F.col(prob).cast("double").alias("p"), F.col(label).cast("int").alias("y"))
+        _scorable(df, label, prob)
         .groupBy("p")
         .agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((1 - F.col("y")).cast("long")).alias("neg"))
     )
@@ -138,9 +146,9 @@ def threshold_sweep(
     """
     grid = threshold_grid(lo, hi, step)
     cuts = sorted({*grid, baseline})
-    passed = functools.reduce(lambda a, b: a + b, [(F.col(prob) >= t).cast("int") for t in cuts])
-    hit = F.col(label).cast("long")
-    bins = scored_val.groupBy(passed.alias("_bin")).agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
+    passed = functools.reduce(lambda a, b: a + b, [(F.col("p") >= t).cast("int") for t in cuts])
+    hit = F.col("y").cast("long")
+    bins = _scorable(scored_val, label, prob).groupBy(passed.alias("_bin")).agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     # From here on there is one row: at most len(cuts) + 1 bins.
     counts = bins.agg(
         F.collect_list(F.struct("_bin", "pos", "neg")).alias("_bins"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))

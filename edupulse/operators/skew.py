@@ -17,7 +17,6 @@ from pyspark.sql.window import WindowSpec
 from edupulse.session import MAX_BROADCAST_ROWS, materialize, max_rows_per_group
 
 SEGMENT = "_segment"
-MAX_SEGMENTS = 20_000
 UNSPLIT = math.inf  # as max_rows: the caller knows that no key needs splitting
 
 
@@ -67,7 +66,7 @@ def split_hot(
         hot_keys = materialize(counts)
     condition = _same_key(df, hot_keys, keys, prefix)
     ordinary = df.join(hot_keys, condition, "left_anti")
-    segments = min(max(math.ceil(total / limit), 2), MAX_SEGMENTS)
+    segments = max(math.ceil(total / limit), 2)
     hot = (
         df.join(hot_keys, condition, "left_semi")
         .repartitionByRange(segments, *keys, *order)
@@ -81,7 +80,7 @@ def split_hot(
 def join_segment_values(hot: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach one row per (key, segment) to the rows of that segment."""
     prefix = "_seg_"
-    # At most one row per key and segment boundary: MAX_SEGMENTS plus the number of hot keys.
+    # At most one row per key and segment boundary: the hot rows over the limit, plus the number of hot keys.
     renamed = values.withColumnsRenamed({c: prefix + c for c in [*keys, SEGMENT]})
     condition = _same_key(hot, renamed, keys, prefix) & (hot[SEGMENT] == renamed[prefix + SEGMENT])
     return hot.join(renamed, condition).drop(*[prefix + c for c in [*keys, SEGMENT]])

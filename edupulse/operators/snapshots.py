@@ -60,11 +60,14 @@ def performance_snapshot(
 
 
 def attendance_snapshot(
-    attendance: DataFrame, *, window: int = 10, threshold: float = 0.10, tie_break: Sequence[str] = (),
+    attendance: DataFrame, *, window: int = 10, threshold: float = 0.10, tie_break: Sequence[str] | None = None,
     max_rows: float | None = None,
 ) -> DataFrame:
     """Per school day the previous rate and the trailing mean and sample deviation over
-    the ``window`` days before it; days without a full window are left out."""
+    the ``window`` days before it; days without a full window are left out.
+
+    A school may report a day twice: such rows follow the stored ``id``, or where there is none their counts.
+    """
     rates = attendance.where(F.col("enrolled") > 0).withColumn("_rate", ratio(F.col("absent"), F.col("enrolled")))
 
     def add(df: DataFrame, days) -> DataFrame:
@@ -76,6 +79,8 @@ def attendance_snapshot(
             "_seen": F.count("_rate").over(before),
         })
 
+    if tie_break is None:
+        tie_break = ["id"] if "id" in attendance.columns else [c for c in ("enrolled", "present", "absent", "released") if c in attendance.columns]
     order = ["attendance_date", *tie_break]
     return (
         lookback_window(rates, ["school_id"], order, window, add, max_rows)

@@ -172,12 +172,12 @@ def class_as_of(students: DataFrame, rosters: DataFrame, readings: DataFrame | N
 
 
 def class_state(
-    rosters: DataFrame, states: DataFrame, *, cap: int = 15, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+    rosters: DataFrame, states: DataFrame, *, cap: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df
 ) -> tuple[DataFrame, DataFrame]:
     """``(classes, mastery)`` for every class at once.
 
     ``classes``: roster counts, topics observed and the last update; ``mastery``: A8 over the
-    capped roster. A student's mastery is computed once and joined to each of their classes.
+    roster, the lowest ``cap`` students of a class if a cap is given. A student's mastery is computed once and joined to each of their classes.
     ``keep`` may write the class mastery (one row per class and topic), which both tables read.
     """
     mastery = keep(class_mastery_with_time(states, cap_roster(rosters, cap=cap)))

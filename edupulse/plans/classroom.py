@@ -28,7 +28,7 @@ class ClassroomReport:
 
 def classroom_report(
     attempts: DataFrame, student_classes: DataFrame, problems: DataFrame, *, params: BktRule = BktRule(),
-    cap: int = 15, source_dataset: str = "assistments", context: DataFrame | None = None,
+    cap: int | None = None, source_dataset: str = "assistments", context: DataFrame | None = None,
 ) -> ClassroomReport:
     """D1-D3. Eligibility comes from the states: a student with a state has a scoreable attempt.
 
@@ -44,7 +44,7 @@ def classroom_report(
     return ClassroomReport(classes, mastery, priorities, recommendation, decision)
 
 
-def class_skill_priorities(attempts: DataFrame, student_classes: DataFrame, *, cap: int = 15) -> DataFrame:
+def class_skill_priorities(attempts: DataFrame, student_classes: DataFrame, *, cap: int | None = None) -> DataFrame:
     """The flagship query: every class's reliable skills, weakest first."""
     states = materialize(bkt_mastery(attempts))
     _, mastery = class_state(class_rosters(states, student_classes), states, cap=cap)

@@ -43,7 +43,7 @@ def bkt_selection(spark, d):
 
 @query
 def kt_lr(spark, d):
-    return publish(TracingExperiment(v.attempts(spark, d), iterations=(5, 10)).report(boosted=False))
+    return publish(TracingExperiment(v.attempts(spark, d)).report(boosted=False))
 
 
 @query
@@ -81,7 +81,7 @@ def dropout_lr(spark, d):
 def dropout_threshold(spark, d):
     snapshot = snapshots.dropout_snapshot(*_course_tables(spark, d), cutoff_day=45)
     rows = _split_snapshot(snapshot, "is_dropout", "id_student")
-    model = c.fit_forest(rows.where("split = 'train'"), features=f.DROPOUT, trees=50)
+    model = c.fit_forest(rows.where("split = 'train'"), features=f.DROPOUT)
     scored = c.score(model, rows.where("split = 'val'")).withColumn("label", F.col("is_dropout"))
     return publish(metrics.threshold_sweep(scored))
 

@@ -127,7 +127,7 @@ VIEW_SQL = {
     "mastery_by_class": """
         SELECT class_id, topic_id, avg(mastery) AS average_mastery,
                CAST(sum(observation_count) AS BIGINT) AS observation_count
-        FROM capped JOIN states USING (student_id) GROUP BY 1, 2""",
+        FROM rosters JOIN states USING (student_id) GROUP BY 1, 2""",
     "priorities": """
         SELECT *, 1 - average_mastery AS priority_score, row_number() OVER (PARTITION BY class_id
                ORDER BY 1 - average_mastery DESC, observation_count DESC, topic_id) AS priority_rank
@@ -161,6 +161,8 @@ VIEW_SQL = {
               FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY submitted_at DESC, assessment_id DESC) AS k
                     FROM assessment_results) GROUP BY 1)""",
     "class_counts": """
+        SELECT class_id, count(*) AS students_used, count(*) AS students_eligible, false AS roster_capped FROM rosters GROUP BY 1""",
+    "capped_counts": """
         SELECT class_id, least(count(*), 15) AS students_used, count(*) AS students_eligible, count(*) > 15 AS roster_capped
         FROM rosters GROUP BY 1""",
     "latest_sensor": """

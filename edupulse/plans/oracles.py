@@ -242,13 +242,13 @@ BODIES: dict[str, str] = {
         FROM (SELECT student_id, ts, 'interaction' AS kind, event_id::VARCHAR AS source_id FROM interactions
               UNION ALL SELECT student_id, submitted_at, 'result', assessment_id::VARCHAR FROM assessment_results)""",
     "class_roster": "SELECT class_id, student_id FROM capped",
-    "class_roster_counts": "SELECT * FROM class_counts",
+    "class_roster_counts": "SELECT * FROM capped_counts",
     "class_mastery": """SELECT class_id, topic_id, round(average_mastery, 6) AS average_mastery, observation_count
                         FROM mastery_by_class""",
     "class_state": f"""
         SELECT c.*, coalesce(topics, 0) AS topics_observed, strftime(last, {TS}) AS as_of FROM class_counts c
         LEFT JOIN (SELECT class_id, count(DISTINCT topic_id) AS topics, max(updated_at) AS last
-                   FROM capped JOIN states USING (student_id) GROUP BY 1) USING (class_id)""",
+                   FROM rosters JOIN states USING (student_id) GROUP BY 1) USING (class_id)""",
     "class_engagement": """
         SELECT class_id, count(*) AS students_with_interactions, sum(total_interactions)::BIGINT AS total_interactions,
                sum(correct_attempts)::BIGINT AS total_correct_attempts, sum(incorrect_attempts)::BIGINT AS total_incorrect_attempts,

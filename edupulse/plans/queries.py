@@ -206,12 +206,12 @@ def _report(spark, d, **kwargs):
 
 @query
 def class_roster(spark, d):
-    return publish(att.cap_roster(_rosters(spark, d)))
+    return publish(att.cap_roster(_rosters(spark, d), cap=att.ROSTER_CAP))
 
 
 @query
 def class_roster_counts(spark, d):
-    return publish(att.roster_counts(_rosters(spark, d)))
+    return publish(att.roster_counts(_rosters(spark, d), cap=att.ROSTER_CAP))
 
 
 @query

@@ -38,12 +38,13 @@ def _parse(column: Column, kind: T.DataType) -> Column:
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None, *,
-    sep: str = ",", rename: Callable[[str], str] | Mapping[str, str] = stored_name,
+    sep: str = ",", rename: Callable[[str], str] | Mapping[str, str] = stored_name, multi_line: bool = False,
 ) -> DataFrame:
     """Columns of ``schema`` (or the given subset) from a CSV file with a header.
 
     Source headers go through ``rename``; other source columns are pruned. Files of any size are
-    split by Spark, so there is no chunk loop.
+    split by Spark, so there is no chunk loop. Quotes inside a quoted field are doubled. Line ends inside a
+    field need ``multi_line``, which takes each file as one task.
     """
     header = csv_header(spark, path, sep=sep)
     to_name = rename if callable(rename) else lambda h: rename.get(h, h)
@@ -53,7 +54,7 @@ def read_csv(
         raise ReadError(f"{path}: missing column(s) {sorted(missing)}")
     raw_schema = T.StructType([T.StructField(to_name(h), T.StringType()) for h in header])
     raw = (spark.read.schema(raw_schema).option("header", True).option("sep", sep).option("enforceSchema", True)
-           .option("mode", "FAILFAST").csv(path))
+           .option("escape", '"').option("multiLine", multi_line).option("mode", "FAILFAST").csv(path))
     return cast_to(raw, T.StructType([f for f in schema.fields if f.name in wanted]))
 
 
@@ -61,7 +62,7 @@ def _text_rows(lines: DataFrame, header_line: str, names: Sequence[str]) -> Data
     """Data lines parsed as CSV text columns; lines equal to the header are skipped."""
     ddl = ", ".join(f"`{n}` string" for n in names)
     data = lines.where((F.col("value") != header_line) & (F.trim("value") != ""))
-    return data.select(F.from_csv("value", ddl, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return data.select(F.from_csv("value", ddl, {"mode": "FAILFAST", "escape": '"'}).alias("r")).select("r.*")
 
 
 def _header_names(line: str) -> list[str]:

@@ -62,6 +62,13 @@ class _Load:
             self.warn(q.check_range(stored, column, low, high, table=table), column=column)
         return stored
 
+    def keep(self, table: str, df: DataFrame) -> DataFrame:
+        """Writes a table that describes the load, beside the loaded ones."""
+        path = f"{self.staging}/{table}"
+        df.write.mode("overwrite").parquet(path)
+        self.tables[table] = self.spark.read.schema(df.schema).parquet(path)
+        return self.tables[table]
+
     def require(self, *checks: DataFrame) -> None:
         q.enforce(checks)
 
@@ -74,13 +81,14 @@ class _Load:
 
     def publish(self) -> list[dict]:
         """Moves the checked stages to their final folders; returns the warnings."""
-        jvm = self.spark._jvm
-        for table in self.tables:
-            source = jvm.org.apache.hadoop.fs.Path(f"{self.staging}/{table}")
-            target = jvm.org.apache.hadoop.fs.Path(f"{self.out}/{table}")
-            fs = source.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        moves = [(table, path(f"{self.staging}/{table}"), path(f"{self.out}/{table}")) for table in self.tables]
+        fs = path(self.out).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        # Nothing moves unless everything can.
+        for table, _, target in moves:
             if fs.exists(target):
                 raise FileExistsError(f"{self.out}/{table} exists; load into a new folder")
+        for table, source, target in moves:
             if not fs.rename(source, target):
                 raise OSError(f"could not publish {table}")
         return self.warnings
@@ -183,8 +191,9 @@ def load_environmental_sensors(spark: SparkSession, raw_dir: str, out_dir: str)
     load.require(q.check_nulls(raw, table="co2_sensor_readings"))
     unique = drop_full_duplicates(raw.withColumn("sensor_id", F.trim("sensor_id")))
     stored = load.write("co2_sensor_readings", cast_to(unique, schema))
-    for row in q.unseen_values(stored, "sensor_id", KNOWN_SENSORS).limit(100).collect():
-        load.warnings.append({"check": "unseen", "table": "co2_sensor_readings", "value": row["sensor_id"]})
+    unseen = load.keep("co2_unseen_sensors", q.unseen_values(stored, "sensor_id", KNOWN_SENSORS))
+    if n_unseen := unseen.count():
+        load.warnings.append({"check": "unseen", "table": "co2_sensor_readings", "values_in": "co2_unseen_sensors", "n_bad": n_unseen})
     return load.publish()
 
 

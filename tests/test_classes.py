@@ -88,10 +88,19 @@ def test_roster_cap(spark):
     rosters = spark.createDataFrame([(1, s) for s in range(20)] + [(2, 5)], "class_id long, student_id long")
     used = att.cap_roster(rosters, cap=15)
     assert sorted(r.student_id for r in used.where("class_id = 1").collect()) == list(range(15))
-    counts = {r.class_id: (r.students_used, r.students_eligible, r.roster_capped) for r in att.roster_counts(rosters).collect()}
+    counts = {r.class_id: (r.students_used, r.students_eligible, r.roster_capped) for r in att.roster_counts(rosters, cap=15).collect()}
     assert counts == {1: (15, 20, True), 2: (1, 1, False)}
 
 
+def test_no_cap_by_default(spark):
+    rosters = spark.createDataFrame([(1, s) for s in range(40)], "class_id long, student_id long")
+    assert att.cap_roster(rosters).count() == 40
+    assert tuple(att.roster_counts(rosters).first()) == (1, 40, 40, False)
+    states = spark.createDataFrame([(s, "a", 1.0 if s >= 15 else 0.0, 2, None) for s in range(40)], "student_id long, topic_id string, mastery double, observation_count long, updated_at timestamp")
+    classes, mastery = summaries.class_state(rosters, states)
+    assert (classes.first().students_used, classes.first().roster_capped) == (40, False) and mastery.first().average_mastery == 25 / 40
+
+
 def test_attempt_facts(spark):
     logs = spark.createDataFrame(
         [(1, 10, 100, day(0), True), (2, 10, 101, day(1), False), (3, 10, 102, day(2), True), (4, 11, 100, day(0), None)],

@@ -36,6 +36,14 @@ def test_evaluate_matches_definitions(spark, digits):
     assert got.auc == pytest.approx(auc(rows))
 
 
+@pytest.mark.parametrize("row", [(1, None), (0, float("nan")), (None, 0.5)])
+@pytest.mark.parametrize("score", [m.evaluate_predictions, m.classification_report, m.threshold_sweep])
+def test_missing_probability_or_label_is_an_error(spark, row, score):
+    rows = spark.createDataFrame([(1, 0.9), (0, 0.1), row], "label int, prob double")
+    with pytest.raises(Exception, match="missing prob or label"):
+        score(rows).collect()
+
+
 def test_single_class_and_boundaries(spark):
     got = m.evaluate_predictions(scored(spark, [(1, 1.0), (1, 0.0)])).first()
     assert got.auc is None and got.brier_score == 0.5

@@ -51,22 +51,21 @@ def test_em_equals_enumeration(spark, max_chain):
         assert parameters(got) == pytest.approx(parameters(rule), abs=1e-9)
 
 
-def simulate(n, prior, transit, slip, guess, seed=1):
-    rng = random.Random(seed)
-    chains = {}
-    for s in range(n):
-        known, seq = rng.random() < prior, []
-        for _ in range(rng.randint(3, 12)):
-            seq.append(("a", rng.random() < ((1 - slip) if known else guess)))
-            known = known or rng.random() < transit
-        chains[s] = seq
-    return chains
-
-
-def test_parameter_recovery(spark):
-    chains = simulate(3000, 0.2, 0.3, 0.1, 0.2)
-    fitted = calibrate.fit_bkt(attempts_frame(spark, chains), n_iter=25)
-    assert parameters(fitted) == pytest.approx((0.2, 0.3, 0.1, 0.2), abs=0.07)
+def sampled_chains(rule, students, seed):
+    """Chains drawn from the two-state model, all of one length."""
+    rng = np.random.default_rng(seed)
+    known, steps = rng.random(students) < rule.prior, []
+    for _ in range(9):
+        right = rng.random(students) < np.where(known, 1 - rule.slip, rule.guess)
+        steps.append(right)
+        known |= rng.random(students) < rule.transit
+    return {s: [("a", bool(step[s])) for step in steps] for s in range(students)}
+
+
+def test_fit_finds_the_model_that_drew_the_chains(spark):
+    rule = BktRule(0.35, 0.15, 0.08, 0.25)
+    fitted = calibrate.fit_bkt(attempts_frame(spark, sampled_chains(rule, 2500, seed=31)), n_iter=40)
+    assert parameters(fitted) == pytest.approx(parameters(rule), abs=0.08)
 
 
 def test_empty_fit_is_an_error(spark):

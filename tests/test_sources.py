@@ -24,6 +24,24 @@ def test_read_csv_prunes_and_types(spark, tmp_path):
     assert files.read_csv(spark, path, schemas.TABLES["assessments"], ["weight"]).columns == ["weight"]
 
 
+def test_doubled_quotes_and_line_ends_in_fields(spark, tmp_path):
+    schema = schemas.TABLES["courses"]
+    path = put(tmp_path, "e.csv", 'code_module,code_presentation,module_presentation_length\n"say ""hi"", ok",B,2\n')
+    assert files.read_csv(spark, path, schema).first().code_module == 'say "hi", ok'
+    path = put(tmp_path, "f.csv", 'code_module,code_presentation,module_presentation_length\n"two\nlines",B,2\n')
+    assert files.read_csv(spark, path, schema, multi_line=True).first().code_module == "two\nlines"
+
+
+def test_nothing_is_published_if_one_target_exists(spark, tmp_path):
+    load = loaders._Load(spark, str(tmp_path / "out"), "x")
+    load.keep("first", spark.range(3))
+    load.keep("second", spark.range(2))
+    spark.range(1).write.parquet(str(tmp_path / "out" / "second"))
+    with pytest.raises(FileExistsError):
+        load.publish()
+    assert not (tmp_path / "out" / "first").exists() and spark.read.parquet(str(tmp_path / "out" / "second")).count() == 1
+
+
 def test_read_csv_errors(spark, tmp_path):
     path = put(tmp_path, "c.csv", "code_module,code_presentation\nA,B\n")
     with pytest.raises(files.ReadError, match="module_presentation_length"):
@@ -172,7 +190,8 @@ def test_load_sensors(spark, tmp_path):
         '"published_at,""date_time"",sensor_id,temp,hum,co2,bat"\n' + row + row + row.replace("T00", "T01").replace("500", "200"))
     warnings = loaders.load_environmental_sensors(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
     assert {w["check"] for w in warnings} == {"range", "unseen"} and spark.read.parquet(str(tmp_path / "out" / "co2_sensor_readings")).count() == 2
-    assert [w["value"] for w in warnings if w["check"] == "unseen"] == ["CO2_77"]
+    assert [w["n_bad"] for w in warnings if w["check"] == "unseen"] == [1]
+    assert [r.sensor_id for r in spark.read.parquet(str(tmp_path / "out" / "co2_unseen_sensors")).collect()] == ["CO2_77"]
 
 
 def test_load_occupancy(spark, tmp_path):
