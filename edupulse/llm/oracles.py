@@ -16,12 +16,12 @@ windows AS (
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - {size - 2})) AS p FROM split)),
 earliest AS (SELECT k, min(doc_id) AS source FROM windows GROUP BY k),
 hit AS (
-  SELECT DISTINCT doc_id, unnest(range(p, p + {size})) AS at
+  SELECT DISTINCT doc_id, unnest(range(p, p + {size})) AS spot
   FROM windows JOIN earliest USING (k) WHERE doc_id > source),
-placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM split),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS spot FROM split),
 kept AS (
-  SELECT placed.doc_id, count(hit.at) AS n_removed, string_agg(word, ' ' ORDER BY placed.at) FILTER (hit.at IS NULL) AS text
-  FROM placed LEFT JOIN hit ON placed.doc_id = hit.doc_id AND placed.at = hit.at GROUP BY placed.doc_id)
+  SELECT placed.doc_id, count(hit.spot) AS n_removed, string_agg(word, ' ' ORDER BY placed.spot) FILTER (hit.spot IS NULL) AS text
+  FROM placed LEFT JOIN hit ON placed.doc_id = hit.doc_id AND placed.spot = hit.spot GROUP BY placed.doc_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM split LEFT JOIN kept USING (doc_id)"""
 
@@ -41,7 +41,7 @@ windows AS (
   FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS p
         FROM split, (SELECT DISTINCT size FROM wanted) WHERE len(words) >= size)),
 found AS (SELECT doc_id, item_id, p, windows.size FROM windows JOIN wanted USING (size, k)),
-hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS at FROM found) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS spot FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM found GROUP BY doc_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
@@ -60,12 +60,12 @@ def _quality_rules() -> str:
     return rf"""
 WITH split AS (
   SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^{_BLANK}]')) AS lines FROM documents),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{_BLANK}]')) AS lines FROM documents),
 windows AS (
   SELECT doc_id, p, array_to_string(words[p:p + 2], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS p FROM split)),
 again AS (
-  SELECT doc_id, count(DISTINCT at) AS n FROM (
-    SELECT doc_id, unnest(range(p, p + 3)) AS at
+  SELECT doc_id, count(DISTINCT spot) AS n FROM (
+    SELECT doc_id, unnest(range(p, p + 3)) AS spot
     FROM windows JOIN (SELECT doc_id, k FROM windows GROUP BY doc_id, k HAVING count(*) > 1) USING (doc_id, k)) GROUP BY doc_id),
 base AS (
   SELECT doc_id, lang, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
@@ -83,7 +83,7 @@ counted AS (
     count(*) FILTER (good = 1 AND value >= cutoff) AS lost, count(*) FILTER (good = 0 AND value >= cutoff) AS won
   FROM rated, grid GROUP BY ALL),
 tested AS (
-  SELECT *, CASE WHEN lost <= floor(n * {share!r}) AND lost < n THEN list_sum(list_transform(range(0, lost + 1), i ->
+  SELECT *, CASE WHEN lost <= floor(n * {share!r}) AND lost < n THEN list_sum(list_transform(range(0, lost + 1), lambda i:
       exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r}))))
       <= {q.LEVEL!r} / (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM rated)) ELSE false END AS fine
   FROM counted),
@@ -111,11 +111,11 @@ def _sharding() -> str:
 WITH RECURSIVE bytes AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, hex(encode(coalesce(text, ''))) AS h FROM documents),
 entry AS (SELECT list(c ORDER BY b) AS t FROM (
-  SELECT b, list_reduce(list_prepend(b, range(8)), (c, i) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+  SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))),
 summed AS (
   SELECT doc_id, n_bytes + 1 AS size,
-    xor(list_reduce(list_prepend(4294967295, list_transform(range(n_bytes), i -> ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
-      (c, b) -> xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(n_bytes), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
   FROM bytes, entry),
 numbered AS (
   SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS id, count(*) OVER () AS n FROM summed),
