@@ -149,4 +149,8 @@ def filter_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are kept."""
     limits = stage(cutoffs(stage(base_statistics(documents, "doc_id", "lang")), labels))
     whole = documents.select(F.struct(*documents.columns).alias("_row"), "text", "lang")
-    return judge(base_statistics(whole, "_row", "lang"), limits).where("kept").select("_row.*")
+    counted = base_statistics(whole, "_row", "lang")
+    # Filters do not pass a generator, so that the statistics are computed once and not in every condition.
+    numbers = [c for c in counted.columns if c != "_row"]
+    once = counted.select("_row", F.explode(F.array(F.struct(*numbers))).alias("_s")).select("_row", "_s.*")
+    return judge(once, limits).where("kept").select("_row.*")
