@@ -1,31 +1,34 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
-Words are compared as strings of letters with a start mark: the kernel counts the common
+Words are compared as strings of letters with a mark at either end: the kernel counts the common
 subsequences of three within a span of ``SPAN`` letters, each weighted down by its gaps, so an insult
-with letters inserted, left out or set apart stays close to the plain one. A sentence
-is compared with a landmark by its best word. Landmarks are words (insult candidates and ordinary
-ones); the kernel values to them, whitened by the kernel among them (Nyström), are the features of a
-support vector machine trained on sentences: those of toxic documents that hold a candidate against
-those of other documents. Candidates are words that occur in far more toxic than other documents by a
-likelihood ratio, near copies counting once. A document's score is the
-calibrated margin of its worst sentence.
+with letters inserted, left out or set apart stays close to the plain one. It is normalised and
+squared; likeness under ``FLOOR`` counts as none. Landmarks are insult candidates and the ordinary
+words most like them; the kernel values to them, whitened by the kernel among them (Nyström), are
+the features of a support vector machine.
 
-Training reads at most ``SAMPLE`` documents of each label (by the hash of doc_id; a documented bound). Scoring
-reads every document, whole. Every task keeps the kernel values of words met, ``MEMORY`` of them at most.
+It is trained on sentences by their words: a sentence of a toxic document is toxic by the candidates
+in it (as written, and with a letter inserted), one of another document by none of its words.
+Candidates are words that occur in far more toxic than other documents by a likelihood ratio, near
+copies counting once. A sentence's margin is that of its worst word, a document's that of its worst
+sentence, calibrated to a probability.
+
+Training reads at most about ``SAMPLE`` documents of each label (by the hash of doc_id; a documented
+bound). Scoring reads every document, whole. A task keeps the margins of words it has met,
+``MEMORY`` of them at most.
 
 Only the text is an input of a score. Labels are learnt from rows with crc32(doc_id as text) mod 3
 other than 1.
 
-Odd cases: a null text is empty; a text without a sentence scores as one whose words resemble no
-landmark; labels that are null or contradict each other for one doc_id are not learnt; without labels of both kinds every
-score is the share of toxic labels (0 without any); repeated rows score alike; a null doc_id is not
-held out; other columns are not read; an empty table gives no rows.
+Odd cases: a null text is empty; a text without words has the margin of a word that resembles no
+landmark; labels that are null or contradict each other for one doc_id are not learnt; without labels
+of both kinds, or candidates, every score is the share of toxic labels (0 without any); repeated rows
+score alike; a null doc_id is not held out; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -39,19 +42,20 @@ from edupulse.llm.staging import stage, steps, text_or_empty
 
 THRESHOLD = 0.7
 SAMPLE = 4_000
-INSULT_LANDMARKS, PLAIN_LANDMARKS = 48, 16
+INSULT_LANDMARKS, PLAIN_LANDMARKS = 48, 32
 CANDIDATES = 1_000
-SENTENCES_PER_DOCUMENT = 4
-MEMORY = 150_000
+NEAR_WORDS = 20_000
+MEMORY = 400_000
 
-SPAN = 6
+SPAN = 5
 DECAY = 0.6
-_CODES = 40
+# A word that resembles a landmark less than this does not resemble it at all.
+FLOOR = 0.25
+_CODES = 42
 _WINDOW = 24
-_RIDGE = 1e-2
+_RIDGE = 1e-4
 
-_SENTENCE = re.compile(r"[.!?\n]+")
-_SPELLED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w(?!\w)){3,}")
+_SPELLED_LETTERS = 4
 # Characters commonly written for letters (fixed values).
 _LIKE_LETTERS = str.maketrans("013457@$", "oieastas")
 _OFFSETS = [(a, b, DECAY ** (b - 2)) for a, b in itertools.combinations(range(1, SPAN), 2)]
@@ -70,27 +74,37 @@ def letters(word: str) -> str:
     return word
 
 
-def sentences(text: str) -> list[list[str]]:
-    """Words of each sentence. Letters set apart one by one ("a b c d") are also a sentence of one word."""
-    out = [words for part in _SENTENCE.split(text) if (words := part.lower().split())]
-    out += [[letters(m[0])] for m in _SPELLED.finditer(text)]
-    return out
+def split_words(text: str) -> list[str]:
+    """The text's words in lower case; letters spaced out one by one ("a b c d") also as one word."""
+    words = text.lower().split()
+    if list(map(len, words)).count(1) >= _SPELLED_LETTERS:
+        for single, run in itertools.groupby(words[:], lambda w: len(w) == 1):
+            if single and len(spelled := letters("".join(run))) >= _SPELLED_LETTERS:
+                words.append(spelled)
+    return words
 
 
-def _codes(word: str) -> list[int]:
-    return [0, *[ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 13 for c in word]]
+def _codes(words: list[str]) -> np.ndarray:
+    """The words' letters as numbers under ``_CODES``, a row per word: the start mark first, the end mark and -1 behind."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    letter = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+    table = np.full((len(words), int(sizes.max(initial=0)) + 1 + SPAN), -1, np.int64)
+    table[:, 0] = 0
+    table[np.arange(len(words)), sizes + 1] = _CODES - 1
+    row = np.repeat(np.arange(len(words)), sizes)
+    table[row, np.arange(len(letter)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1] = np.where(
+        (letter >= 97) & (letter <= 122), letter - 96, 27 + letter % 13)
+    return table
 
 
 def _grams(words: list[str]) -> Iterator[tuple[np.ndarray, float]]:
-    """For every pair of offsets the words' subsequences of three (row per word, padded by _CODES ** 3) and the weight."""
-    coded = [_codes(w) for w in words]
-    width = max(map(len, coded)) + SPAN
-    table = np.full((len(words), width), -1, np.int64)
-    for i, c in enumerate(coded):
-        table[i, : len(c)] = c
+    """For every pair of offsets the words' subsequences of three (a row per word, padded by _CODES ** 3) and the weight."""
+    table = _codes(words)
+    width = table.shape[1]
     for a, b, weight in _OFFSETS:
         x, y, z = table[:, : width - b], table[:, a: width - b + a], table[:, b:]
-        yield np.where((x < 0) | (y < 0) | (z < 0), _CODES**3, (x * _CODES + y) * _CODES + z), weight
+        # A word's letters are contiguous, so the last one of the three tells if all are there.
+        yield np.where(z < 0, _CODES**3, (x * _CODES + y) * _CODES + z), weight
 
 
 @dataclass
@@ -98,83 +112,46 @@ class Kernel:
     """Kernel values of words to fixed landmarks."""
 
     landmarks: list[str]
+    place: np.ndarray = field(init=False)  # of a subsequence in features; -1 if no landmark has it
     features: np.ndarray = field(init=False)
-    known: dict[str, int] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
-        self.features = np.zeros((_CODES**3 + 1, len(self.landmarks)), np.float32)
+        whole = np.zeros((_CODES**3 + 1, len(self.landmarks)), np.float32)
+        norm = np.zeros(len(self.landmarks))
         for grams, weight in _grams(self.landmarks):
+            norm += (grams < _CODES**3).sum(1) * weight**2
             for i, row in enumerate(grams):
-                np.add.at(self.features[:, i], row, np.float32(weight))
-        self.features[-1] = 0
-        self.features /= np.maximum(self._norm(self.landmarks), 1e-9)
-        self.rows = np.zeros((1024, len(self.landmarks)), np.float32)
-
-    @staticmethod
-    def _norm(words: list[str]) -> np.ndarray:
-        total = np.zeros(len(words), np.float32)
-        for grams, weight in _grams(words):
-            total += (grams < _CODES**3).sum(1) * np.float32(weight * weight)
-        return np.sqrt(total)
+                np.add.at(whole[:, i], row, np.float32(weight))
+        whole[-1] = 0
+        present = np.flatnonzero(whole.any(1))
+        self.place = np.full(len(whole), -1, np.int32)
+        self.place[present] = np.arange(len(present))
+        self.features = (whole[present] / np.maximum(np.sqrt(norm), 1e-9)).astype(np.float32)
 
     def values(self, words: list[str]) -> np.ndarray:
-        """One row per word. Words of one length are taken together."""
+        """One row per word. Words of similar length are taken together."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 256):
-            rows = order[at: at + 256]
+        for at in range(0, len(order), 512):
+            rows = order[at: at + 512]
             mine = [words[i] for i in rows]
-            if len(mine[-1]) < 2:
-                continue
-            total = np.zeros((len(mine), len(self.landmarks)), np.float32)
+            total, norm = np.zeros((len(mine), len(self.landmarks)), np.float32), np.zeros(len(mine))
             for grams, weight in _grams(mine):
-                total += self.features[grams].sum(1) * np.float32(weight)
-            out[rows] = total / np.maximum(self._norm(mine), 1e-9)[:, None]
-        return out
-
-    def _of_spelling(self, spellings: list[str]) -> np.ndarray:
-        """Rows of words as they are written; long ones by the best of their overlapping windows."""
-        parts, owner = [], []
-        for i, s in enumerate(spellings):
-            word = letters(s)
-            for start in range(0, max(len(word) - _WINDOW // 2, 1), _WINDOW // 2):
-                parts.append(word[start: start + _WINDOW])
-                owner.append(i)
-        found = self.values(parts)
-        out = np.zeros((len(spellings), len(self.landmarks)), np.float32)
-        np.maximum.at(out, owner, found)
-        return out
-
-    def sentence_rows(self, split: list[list[str]]) -> np.ndarray:
-        """One row per sentence: the best word for each landmark."""
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = list({w for words in split for w in words})
-        need = len(known) + len(new)
-        if need > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((need, len(self.landmarks)), np.float32)])
-        for at in range(0, len(new), 4096):
-            part = new[at: at + 4096]
-            self.rows[len(known): len(known) + len(part)] = self._of_spelling(part)
-            known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
-        out = np.zeros((len(split), len(self.landmarks)), np.float32)
-        at = 0
-        while at < len(split):  # as many sentences as make about 20,000 words
-            end, held = at, 0
-            while end < len(split) and (end == at or held + len(split[end]) <= 20_000):
-                held += len(split[end])
-                end += 1
-            starts = np.cumsum([0, *[len(words) for words in split[at: end - 1]]])
-            out[at:end] = np.maximum.reduceat(self.rows[[known[w] for words in split[at:end] for w in words]], starts, axis=0)
-            at = end
+                norm += (grams < _CODES**3).sum(1) * weight**2
+                place = self.place[grams]
+                row, column = np.nonzero(place >= 0)
+                if len(row):
+                    first = np.flatnonzero(np.diff(row, prepend=-1))
+                    total[row[first]] += np.add.reduceat(self.features[place[row, column]], first, axis=0) * np.float32(weight)
+            total /= np.maximum(np.sqrt(norm), 1e-9)[:, None]
+            total[total < FLOOR] = 0
+            out[rows] = total * total
         return out
 
 
 @dataclass
 class Model:
-    """A fitted scorer. ``margin`` is linear in the kernel values; two numbers turn it into a probability."""
+    """A fitted scorer. A word's margin is linear in its kernel values; two numbers turn a document's into a probability."""
 
     landmarks: list[str]
     weights: np.ndarray
@@ -182,31 +159,57 @@ class Model:
     slope: float
     offset: float
 
-    def margins(self, texts: Iterable[str], kernel: Kernel) -> np.ndarray:
-        split = [sentences(t) for t in texts]
-        rows = kernel.sentence_rows([words for each in split for words in each])
-        values = rows @ self.weights + self.constant
-        out, at = np.full(len(split), self.constant), 0
-        for i, each in enumerate(split):
-            if each:
-                out[i] = values[at: at + len(each)].max()
-                at += len(each)
-        return out
-
     def probability(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -30, 30)))
 
 
-_KERNELS: dict[tuple[str, ...], Kernel] = {}
+class Scorer:
+    """Margins of texts under a model, with the words met so far."""
 
+    def __init__(self, model: Model):
+        self.model, self.kernel = model, Kernel(model.landmarks)
+        self.known: dict[str, float] = {}  # as written
+        self.by_letters: dict[str, float] = {}
 
-def _kernel(landmarks: list[str]) -> Kernel:
-    """A worker's kernel to these landmarks, with the words it has met."""
-    key = tuple(landmarks)
-    if key not in _KERNELS:
-        _KERNELS.clear()
-        _KERNELS[key] = Kernel(landmarks)
-    return _KERNELS[key]
+    def _learn(self, spellings: list[str]) -> None:
+        """Long words have the worst margin of their overlapping windows."""
+        by_letters = self.by_letters
+        plain = [letters(s) for s in spellings]
+        new = [w for w in set(plain) if w not in by_letters]
+        parts, owner = [], []
+        for i, word in enumerate(new):
+            cut = [word] if len(word) <= _WINDOW else [word[at: at + _WINDOW] for at in range(0, len(word) - _WINDOW // 2, _WINDOW // 2)]
+            parts += cut
+            owner += [i] * len(cut)
+        worst = np.full(len(new), -np.inf)
+        for at in range(0, len(parts), 8192):
+            margin = self.kernel.values(parts[at: at + 8192]) @ self.model.weights + self.model.constant
+            np.maximum.at(worst, owner[at: at + 8192], margin)
+        by_letters.update(zip(new, worst.tolist(), strict=True))
+        self.known.update((s, by_letters[w]) for s, w in zip(spellings, plain, strict=True))
+
+    def margins(self, texts: Iterable[str]) -> np.ndarray:
+        split = [set(split_words(t)) for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > MEMORY:
+            self.known, self.by_letters = {}, {}
+            new = set().union(*split)
+        if new:
+            self._learn(list(new))
+        get = self.known.__getitem__
+        return np.array([max(map(get, words), default=self.model.constant) for words in split], float)
+
+
+_SCORERS: dict[tuple, Scorer] = {}
+
+
+def _scorer(model: Model) -> Scorer:
+    """A worker's scorer for this model."""
+    key = (*model.landmarks, *model.weights.tolist(), model.constant)
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -226,24 +229,25 @@ def _sample(documents: DataFrame, labels: DataFrame, sample: int) -> tuple[DataF
     return documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known.where(wanted)), "doc_id"), counts
 
 
-def _candidates(sample: DataFrame) -> list[tuple[str, float]]:
-    """Words far more frequent in toxic documents, by the likelihood ratio, the most significant first."""
+def _counts(sample: DataFrame) -> DataFrame:
+    """(word, a, b): in how many toxic and other documents, near copies counting once."""
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             out, toxic, sketch = [], [], []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                mine = {w for s in sentences(text) for x in s if 2 < len(w := letters(x)) <= _WINDOW}
+                mine = {w for x in set(split_words(text)) if 2 < len(w := letters(x)) <= _WINDOW}
                 least = min((xxh64_intdigest(w) for w in mine), default=0) >> 1  # near copies mostly share it
                 out += mine
                 toxic += [label] * len(mine)
                 sketch += [least] * len(mine)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int32()), pa.array(sketch, pa.int64())], names=["word", "toxic", "sketch"])
 
-    seen = stage(sample.mapInArrow(words, "word string, toxic int, sketch long").distinct())
-    n = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count_distinct("sketch").alias("n")).collect()}
-    n1, n0 = float(n.get(1, 0)), float(n.get(0, 0))
-    if not n1 or not n0:
-        return []
+    return stage(sample.mapInArrow(words, "word string, toxic int, sketch long").distinct()
+                 .groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")))
+
+
+def _candidates(counted: DataFrame, n1: float, n0: float) -> list[tuple[str, int]]:
+    """Words far more frequent in toxic documents, by the likelihood ratio, the most significant first, with their count there."""
     a, b = F.col("a"), F.col("b")
     share = (a + b) / (n1 + n0)
 
@@ -251,15 +255,22 @@ def _candidates(sample: DataFrame) -> list[tuple[str, float]]:
         inside = F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
         return inside + F.when(k < n, (n - k) * F.log((n - k) / (n * (1 - share)))).otherwise(0.0)
 
-    counted = seen.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
     scored = counted.where((a >= 3) & (a / n1 > 8 * b / n0) & (a + b < n1 + n0)).withColumn("g", 2 * (part(a, n1) + part(b, n0))).where("g > 12")
-    return [(r["word"], r["g"]) for r in scored.orderBy(F.desc("g"), "word").limit(CANDIDATES).collect()]
+    return [(r["word"], r["a"]) for r in scored.orderBy(F.desc("g"), "word").limit(CANDIDATES).collect()]
+
 
+def _near_words(counted: DataFrame, insults: list[str], listed: frozenset[str]) -> list[tuple[str, float, int]]:
+    """Words of other documents that resemble an insult landmark, the most alike first: word, likeness, count."""
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = Kernel(insults)
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            best = kernel.values(words).max(1)
+            keep = [i for i in np.flatnonzero(best > 0) if words[i] not in listed]
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in keep], pa.string()), pa.array(best[keep].astype(float)), batch.column("b").take(pa.array(keep, pa.int64()))], names=["word", "like", "b"])
 
-def _plain_words(sample: DataFrame, count: int) -> list[str]:
-    """Words of non-toxic documents, by hash."""
-    words = sample.where("toxic = 0").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("length(word) between 3 and 16").distinct()
-    return [r["word"] for r in words.orderBy(F.xxhash64("word"), "word").limit(count).collect()]
+    rows = counted.where("b > 0").select("word", "b").mapInArrow(alike, "word string, like double, b long")
+    return [tuple(r) for r in rows.orderBy(F.desc("like"), "word").limit(NEAR_WORDS).collect()]
 
 
 def _spread(candidates: list[str], count: int) -> list[str]:
@@ -276,10 +287,18 @@ def _spread(candidates: list[str], count: int) -> list[str]:
     return chosen
 
 
-def _machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+def _with_insertion(word: str) -> str:
+    """The word with a letter inserted, by hash: what the machine is to tolerate is among its examples."""
+    word = letters(word)
+    number = xxh64_intdigest(word)
+    at = 1 + number % max(len(word) - 1, 1)
+    return word[:at] + chr(97 + number // 1009 % 26) + word[at:]
+
+
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and constant of a linear support vector machine with squared hinge loss, classes balanced, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
-    cost = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    cost = 0.5 * weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
     w = np.zeros(x.shape[1])
     penalty = _RIDGE * np.append(np.ones(x.shape[1] - 1), 1e-6)
     for _ in range(100):
@@ -311,42 +330,40 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Mod
     chosen = stage(chosen)
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
     constant = Model(["toxic"], np.zeros(1), 0.0, 0.0, float(np.log(max(share, 1e-13) / max(1 - share, 1e-13))))
-    candidates = [w for w, _ in _candidates(chosen)] if len(counts) == 2 else []
-    if not candidates:
+    size = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
+    if not size.get(0) or not size.get(1):
         return constant
-    insults = _spread(candidates, INSULT_LANDMARKS)
-    landmarks = [*insults, *[w for w in _plain_words(chosen, PLAIN_LANDMARKS) if w not in insults]]
-    listed = frozenset(candidates)
-
-    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = _kernel(landmarks)
-        for batch in steps(batches):
-            split, label = [], []
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                mine = sentences(text)
-                if toxic:
-                    mine = [s for s in mine if any(letters(w) in listed for w in s)]
-                mine = sorted(mine, key=lambda s: xxh64_intdigest(" ".join(s)))[:SENTENCES_PER_DOCUMENT]
-                split += mine
-                label += [toxic] * len(mine)
-            rows = kernel.sentence_rows(split) if split else np.zeros((0, len(landmarks)), np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(list(rows), pa.list_(pa.float32()))], names=["toxic", "row"])
-
-    rows = chosen.mapInArrow(examples, "toxic int, row array<float>").collect()
-    y = np.array([1.0 if r["toxic"] else -1.0 for r in rows])
-    if not (y > 0).any() or not (y < 0).any():
+    counted = _counts(chosen)
+    candidates = _candidates(counted, float(size[1]), float(size[0]))
+    if not candidates:
         return constant
+    listed = frozenset(w for w, _ in candidates)
+    insults = _spread([w for w, _ in candidates], INSULT_LANDMARKS)
+    near = _near_words(counted, insults, listed)
+    landmarks = insults + _spread([w for w, _, _ in near], PLAIN_LANDMARKS)
+
+    # Examples by distinct words, each weighing as the root of its documents; a word that resembles nothing stands for the rest.
+    words = [w for w, _ in candidates] + [_with_insertion(w) for w, _ in candidates] + [w for w, _, _ in near] + ["zzz"]
+    y = np.array([1.0] * (2 * len(candidates)) + [-1.0] * (len(near) + 1))
+    often = np.sqrt([a for _, a in candidates])
+    weight = np.concatenate([often, often / 2, np.sqrt([b for _, _, b in near]), [1.0]])
     # Nyström: kernel values to landmarks, whitened by the landmarks' own.
-    own = Kernel(landmarks).values(landmarks).astype(float)
-    size, axes = np.linalg.eigh((own + own.T) / 2)
-    whiten = axes / np.sqrt(np.maximum(size, 1e-2))
-    weights, bias = _machine(np.array([r["row"] for r in rows]) @ whiten, y)
+    kernel = Kernel(landmarks)
+    own = kernel.values(landmarks).astype(float)
+    spread, axes = np.linalg.eigh((own + own.T) / 2)
+    whiten = axes / np.sqrt(np.maximum(spread, 1e-2))
+    weights, bias = _machine(kernel.values(words) @ whiten, y, weight)
     model = Model(landmarks, whiten @ weights, bias, 1.0, 0.0)
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            found = model.margins(batch.column("text").to_pylist(), _kernel(landmarks))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(found)], names=["toxic", "margin"])
+            texts, toxic = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
+            for text, label in list(zip(texts, toxic, strict=True)):
+                changed = " ".join([_with_insertion(w) if letters(w) in listed else w for w in text.split(" ")]) if label else text
+                if changed != text:
+                    texts.append(changed)
+                    toxic.append(label)
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(_scorer(model).margins(texts))], names=["toxic", "margin"])
 
     scored = chosen.mapInArrow(margins, "toxic int, margin double").collect()
     toxic = np.array([r["toxic"] for r in scored], float)
@@ -359,7 +376,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            found = model.probability(model.margins(batch.column("text").to_pylist(), _kernel(model.landmarks)))
+            found = model.probability(_scorer(model).margins(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
     read = documents.select("doc_id", text_or_empty().alias("text"))
