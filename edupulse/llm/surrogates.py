@@ -109,26 +109,23 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+# Letters that stand for each other: vowels and consonants of the common alphabets (fixed values).
+_LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
+_CLASSES = {c: group for letters in _LETTERS for group in (letters, letters.upper()) for c in group} | dict.fromkeys("0123456789", "0123456789")
 
 
 @lru_cache(100_000)
 def _class(c: str) -> str:
     """The characters that may stand for ``c``; itself alone if it is neither letter nor digit."""
-    if c.isascii():
-        if c.isdigit():
-            return "0123456789"
-        for group in (_VOWELS, _CONSONANTS, _VOWELS.upper(), _CONSONANTS.upper()):
-            if c in group:
-                return group
-        return c
+    if c in _CLASSES or c.isascii():
+        return _CLASSES.get(c, c)
     kind = unicodedata.category(c)
     if kind[0] not in "LN":
         return c
     low = ord(c) & ~0x7F
     alike = [chr(x) for x in range(low, low + 128) if unicodedata.category(chr(x)) == kind]
     # One character each way when the case changes, so that case can be restored.
-    alike = [x for x in alike if len(x.lower()) == 1 and len(x.upper()) == 1 and x.lower().upper() in (x, x.upper())]
+    alike = [x for x in alike if x not in _CLASSES and len(x.lower()) == 1 and len(x.upper()) == 1 and x.lower().upper() in (x, x.upper())]
     return "".join(alike) if c in alike else c
 
 
@@ -142,9 +139,13 @@ def _numbers(key: str, count: int) -> list[int]:
     return out[:count]
 
 
-def permute(text: str, key: str) -> str:
-    """A keyed permutation of the strings with ``text``'s shape (the classes of its characters)."""
-    classes = [_class(c) for c in text]
+_HEX = "0123456789abcdef"
+
+
+def permute(text: str, key: str, alphabet: str | None = None) -> str:
+    """A keyed permutation of the strings with ``text``'s shape (the classes of its characters, or
+    one ``alphabet`` for all)."""
+    classes = [alphabet or _class(c) for c in text]
     free = [i for i, c in enumerate(classes) if len(c) > 1]
     if not free:
         return text
@@ -164,13 +165,13 @@ def permute(text: str, key: str) -> str:
     return "".join(out)
 
 
-def _walk(value: str, key: str, allowed) -> str:
+def _walk(value: str, key: str, allowed, alphabet: str | None = None) -> str:
     """The permutation again until the result is allowed, as ``value`` is: a permutation of the allowed."""
-    out = permute(value, key)
+    out = permute(value, key, alphabet)
     for _ in range(100_000):
         if allowed(out):
             return out
-        out = permute(out, key)
+        out = permute(out, key, alphabet)
     raise ValueError("no allowed surrogate")
 
 
@@ -228,6 +229,10 @@ def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
         return entity[:2] + permute(entity[2:], key + entity[:2])
     if kind == "name":
         return _name(entity, key)
+    if kind == "secret":
+        for alphabet in (_HEX, _HEX.upper()):
+            if set(entity) <= set(alphabet) and not entity.isdigit():
+                return _walk(entity, key, lambda s: not s.isdigit(), alphabet)
     return permute(entity, key)
 
 
