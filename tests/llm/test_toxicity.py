@@ -47,8 +47,7 @@ def test_held_out_documents(learnt):
 @pytest.mark.parametrize("written", ["glorbag", "GLORBAG!", "glor-bag", "gl0rbag", "g l o r b a g", "g.l.o.r.b.a.g", "glorxbag", "glorbagg", "snivelniks"])
 def test_spellings(learnt, written):
     _, _, model = learnt
-    kernel = toxicity.Kernel(model.landmarks)
-    plain, said = model.probability(model.margins(["ba kelo minu sti lo mi.", f"ba kelo minu {written} sti lo mi."], kernel))
+    plain, said = model.probability(toxicity.Scorer(model).margins(["ba kelo minu sti lo mi.", f"ba kelo minu {written} sti lo mi."]))
     assert plain < 0.1 < 0.7 < said
 
 
@@ -73,17 +72,18 @@ def test_kernel_by_definition():
     got = kernel.values(words)
     for i, w in enumerate(words):
         for j, m in enumerate(kernel.landmarks):
-            assert got[i, j] == pytest.approx(value(w, m) if len(w) > 1 else 0, abs=1e-5)
+            assert got[i, j] == pytest.approx(v * v if (v := value(w, m)) >= toxicity.FLOOR else 0, abs=1e-5)
 
 
-def test_memory_does_not_change_values(monkeypatch):
+def test_memory_does_not_change_margins(monkeypatch):
     rng = random.Random(1)
-    split = [prose(rng, 12).split() for _ in range(200)]
-    want = toxicity.Kernel(["kelomi", "baba"]).sentence_rows(split)
-    assert want.any()
+    texts = [prose(rng, 12) for _ in range(200)] + ["kelomi" * 20, ""]
+    model = toxicity.Model(["kelomi", "baba"], np.array([1.0, 2.0]), -1.0, 1.0, 0.0)
+    want = toxicity.Scorer(model).margins(texts)
+    assert len(set(want)) > 3
     monkeypatch.setattr(toxicity, "MEMORY", 10)
-    small = toxicity.Kernel(["kelomi", "baba"])
-    got = np.concatenate([small.sentence_rows(split[i: i + 3]) for i in range(0, 200, 3)])
+    small = toxicity.Scorer(model)
+    got = np.concatenate([small.margins(texts[i: i + 3]) for i in range(0, len(texts), 3)])
     assert np.allclose(got, want, atol=1e-6)
 
 
