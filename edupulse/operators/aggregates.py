@@ -56,7 +56,8 @@ def click_stats(clicks: DataFrame, *, cutoff_day: int) -> DataFrame:
         .groupBy(*ENROLLMENT)
         .agg(
             F.sum("sum_click").alias("vle_total_clicks"),
-            F.countDistinct("date").alias("vle_active_days"),
+            # At most cutoff_day distinct days, so a set; a second distinct count would expand every row.
+            F.size(F.collect_set("date")).cast("long").alias("vle_active_days"),
             F.countDistinct("id_site").alias("vle_distinct_sites"),
             F.max("date").alias("vle_last_active_day"),
         )

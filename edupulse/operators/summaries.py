@@ -196,6 +196,25 @@ def class_mastery_with_time(states: DataFrame, rosters: DataFrame) -> DataFrame:
         F.max("updated_at").alias("as_of"))
 
 
+def class_overview(classes: DataFrame, engagement: DataFrame, assessment: DataFrame, environment: DataFrame | None = None) -> DataFrame:
+    """D1 as one table: a class's state (D1) with its engagement (A9), assessment (A10) and, where
+    readings are mapped to classes, environment (A11 keyed by class_id). Parts that a class lacks are NULL."""
+    whole = classes.join(engagement, "class_id", "left").join(assessment, "class_id", "left")
+    return whole if environment is None else whole.join(environment, "class_id", "left")
+
+
+def student_snapshot(totals: DataFrame, engagement: DataFrame, assessment: DataFrame, *attached: DataFrame) -> DataFrame:
+    """One row per student: totals (A14), engagement (A12), assessment (A13) and the latest rows
+    ``attached`` (each keyed by student_id), NULL where a student has none."""
+    parts = [engagement, assessment, *attached]
+    shared = {"delta", "trend"}
+    names = ["engagement", "assessment", *[f"attached{i}" for i in range(len(attached))]]
+    for name, part in zip(names, parts, strict=True):
+        renamed = part.select(*[F.col(c).alias(f"{name}_{c}" if c in shared else c) for c in part.columns])
+        totals = totals.join(renamed, "student_id", "left")
+    return totals
+
+
 def attach_latest(base: DataFrame, updates: DataFrame, *, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """``base`` with the newest update per key; base rows without one keep NULLs."""
     return base.join(latest_rows(updates, keys=keys, order_by=order_by), list(keys), "left")

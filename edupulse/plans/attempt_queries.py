@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from edupulse.functions.identity import uuid5_col
 from edupulse.functions.lists import contains_item
-from edupulse.operators import attempts as att, clean, summaries, windows
-from edupulse.operators import aggregates, splits
+from edupulse.operators import aggregates, attempts as att, clean, mastery, splits, summaries, windows
 from edupulse.plans import driver_tables as v
+from edupulse.plans.classroom import classroom_report
 from edupulse.plans.oracles import BODIES, ORACLES, TS
 from edupulse.plans.oracle_views import with_views
 from edupulse.plans.queries import publish, query
@@ -101,6 +101,31 @@ def latest_attached(spark, d):
     return publish(rows.select("student_id", "assessment_id", "score"))
 
 
+def _rosters(spark, d):
+    return att.class_rosters(v.attempts(spark, d), v.student_classes(spark, d))
+
+
+@query
+def class_overview(spark, d):
+    classes = classroom_report(v.attempts(spark, d), v.student_classes(spark, d), v.problems(spark, d)).classes
+    rosters = _rosters(spark, d)
+    engagement = summaries.class_engagement(summaries.student_engagement(v.interactions(spark, d)), rosters)
+    assessment = summaries.class_assessment(summaries.student_assessment(v.assessment_results(spark, d)), rosters)
+    # Classes 0 to 5 hold the six sensors.
+    readings = v.sensor_readings(spark, d).withColumn("class_id", F.substring("sensor_id", 6, 1).cast("long") - 1)
+    environment = summaries.environment_summary(readings, key="class_id", tie_break=["event_id"])
+    return publish(summaries.class_overview(classes, engagement, assessment, environment))
+
+
+@query
+def student_snapshot(spark, d):
+    states = mastery.bkt_mastery(v.attempts(spark, d))
+    interactions, results = v.interactions(spark, d), v.assessment_results(spark, d)
+    engagement = summaries.student_engagement(interactions).select("student_id", "total_interactions", "active_days", "trend")
+    assessment = summaries.student_assessment(results).select("student_id", "total_results", "average_score", "trend")
+    return publish(summaries.student_snapshot(summaries.student_totals(states, interactions, results), engagement, assessment))
+
+
 @query
 def kt_vector(spark, d):
     rows = v.attempts(spark, d)
@@ -133,6 +158,15 @@ _SQL = {
         SELECT c_custkey AS student_id, assessment_id, round(score, 6) AS score
         FROM customer LEFT JOIN (SELECT * FROM assessment_results QUALIFY row_number() OVER (
             PARTITION BY student_id ORDER BY submitted_at DESC, assessment_id DESC) = 1) r ON r.student_id = c_custkey""",
+    "class_overview": f"""
+        SELECT * FROM ({BODIES["class_state"]})
+        LEFT JOIN ({BODIES["class_engagement"]}) USING (class_id)
+        LEFT JOIN ({BODIES["class_assessment"].replace("FROM student_classes JOIN", "FROM rosters JOIN")}) USING (class_id)
+        LEFT JOIN (SELECT substr(sensor_id, 6, 1)::BIGINT - 1 AS class_id, * EXCLUDE (sensor_id) FROM ({BODIES["class_environment"]})) USING (class_id)""",
+    "student_snapshot": f"""
+        SELECT t.*, total_interactions, active_days, e.trend AS engagement_trend, total_results, round(average_score, 6) AS average_score,
+               a.trend AS assessment_trend
+        FROM ({BODIES["student_totals"]}) t LEFT JOIN student_engagement e USING (student_id) LEFT JOIN student_assessment a USING (student_id)""",
     "kt_vector": f"""
         SELECT event_id, correct::INT::DOUBLE AS label, {", ".join(f"coalesce({n}::DOUBLE, 0) AS {n}" for n in windows.NUMERIC_FEATURES)},
                {", ".join(f"{n}::INT::DOUBLE AS {n}" for n in windows.INDICATOR_FEATURES)} FROM ({BODIES["kt_features"]})""",
