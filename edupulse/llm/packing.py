@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edupulse.llm.staging import stage, steps, text_or_empty
-from edupulse.llm.tokens import END_ID, WORD_BPE, encoder
+from edupulse.llm.tokens import END_ID, WORD_BPE, STEP, encoder
 
 CAPACITY = 2048
 
@@ -42,7 +42,7 @@ def pieces(documents: DataFrame, *, tokenizer: str = WORD_BPE, capacity: int = C
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP):
             ids = encode(batch.column("text").to_pylist())
             rows, out, starts, lengths, sums, held = [], [], [], [], [], []
             for i, found in enumerate(ids):

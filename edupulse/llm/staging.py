@@ -51,15 +51,15 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that ``column`` holds about ``STEP_BYTES`` in each (one row at least)."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, size in enumerate(sizes):
-            if held and held + size > STEP_BYTES:
+            if held and held + size > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += int(size)
