@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edupulse.llm.staging import steps, text_or_empty
-from edupulse.llm.tokens import BYTE_BPE, END_ID, encoder
+from edupulse.llm.tokens import BYTE_BPE, END_ID, STEP, encoder
 from edupulse.operators.sizes import broadcast_if_small
 from edupulse.session import ensure_checkpoint_dir
 
@@ -41,7 +41,7 @@ def encode_sorted(documents: DataFrame, *, tokenizer: str = BYTE_BPE) -> DataFra
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = TaskContext.get().partitionId(), 0
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP):
             ids = [np.frombuffer(found + end, "<i4") for found in encoder(tokenizer).encode(batch.column("text").to_pylist())]
             sizes = np.array([len(x) for x in ids], np.int64)
             edges = np.concatenate([[0], np.cumsum(sizes)])
@@ -62,7 +62,7 @@ def write_store(documents: DataFrame, path: str, *, tokenizer: str = BYTE_BPE) -
     """Writes ``path/data`` and ``path/manifest``."""
     spark = documents.sparkSession
     (encode_sorted(documents, tokenizer=tokenizer).write
-     .option("compression", "zstd").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", ROW_INDEX)
+     .option("compression", "snappy").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", ROW_INDEX)
      .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01)
      .orc(f"{path}/data"))
     shards = (spark.read.schema(STORE).orc(f"{path}/data").groupBy("shard")

@@ -22,8 +22,8 @@ BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 0
 
 # Pieces in each of a worker's two generations of memory, and text encoded at a time.
-MEMORY = 700_000
-STEP = 2 << 20
+MEMORY = 1_000_000
+STEP = 3 << 20
 _GROUP = 200
 
 # A space or line end beside white space other than line ends: there one byte-level token may hold both.
