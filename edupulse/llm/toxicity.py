@@ -9,9 +9,9 @@ the features of a support vector machine.
 
 It is trained on sentences by their words: a sentence of a toxic document is toxic by the candidates
 in it (as written, and with a letter inserted), one of another document by none of its words.
-Candidates are words that occur in far more toxic than other documents by a likelihood ratio, near
-copies counting once. A sentence's margin is that of its worst word, a document's that of its worst
-sentence, calibrated to a probability.
+Candidates are words that occur in far more toxic than other documents by a likelihood ratio, a family
+of near copies counting about once. A sentence's margin is that of its worst word, a document's that
+of its worst sentence, calibrated to a probability.
 
 Training reads at most about ``SAMPLE`` documents of each label (by the hash of doc_id; a documented
 bound). Scoring reads every document, whole. A task keeps the margins of words it has met,
@@ -44,6 +44,7 @@ THRESHOLD = 0.7
 SAMPLE = 4_000
 INSULT_LANDMARKS, PLAIN_LANDMARKS = 48, 32
 CANDIDATES = 1_000
+SKETCHES = 4
 NEAR_WORDS = 20_000
 MEMORY = 400_000
 
@@ -229,24 +230,33 @@ def _sample(documents: DataFrame, labels: DataFrame, sample: int) -> tuple[DataF
     return documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known.where(wanted)), "doc_id"), counts
 
 
-def _counts(sample: DataFrame) -> DataFrame:
-    """(word, a, b): in how many toxic and other documents, near copies counting once."""
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            out, toxic, sketch = [], [], []
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                mine = {w for x in set(split_words(text)) if 2 < len(w := letters(x)) <= _WINDOW}
-                least = min((xxh64_intdigest(w) for w in mine), default=0) >> 1  # near copies mostly share it
-                out += mine
-                toxic += [label] * len(mine)
-                sketch += [least] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int32()), pa.array(sketch, pa.int64())], names=["word", "toxic", "sketch"])
-
-    return stage(sample.mapInArrow(words, "word string, toxic int, sketch long").distinct()
-                 .groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")))
+def _counts(sample: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """(word, a, b): in how many toxic and other documents; and the documents of either kind.
 
-
-def _candidates(counted: DataFrame, n1: float, n0: float) -> list[tuple[str, int]]:
+    A document weighs one by the number of documents of its label that share its most common sketch (the
+    least hash of its runs of three words, of ``SKETCHES`` kinds), so that a family of near copies counts about once.
+    """
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            split = [split_words(text) for text in batch.column("text").to_pylist()]
+            words = [sorted({w for x in set(mine) if 2 < len(w := letters(x)) <= _WINDOW}) for mine in split]
+            triples = [{" ".join(mine[i: i + 3]) for i in range(max(len(mine) - 2, 1))} for mine in split]
+            least = [[min(xxh64_intdigest(t, k) for t in mine) >> 1 for k in range(SKETCHES)] for mine in triples]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(least, pa.list_(pa.int64()))],
+                                             names=["toxic", "words", "least"])
+
+    documents = stage(sample.mapInArrow(describe, "toxic int, words array<string>, least array<long>").withColumn("row", F.monotonically_increasing_id()))
+    sketches = documents.select("row", "toxic", F.posexplode("least").alias("k", "sketch"))
+    common = sketches.groupBy("toxic", "k", "sketch").agg(F.count(F.lit(1)).alias("n"))
+    weights = sketches.join(common, ["toxic", "k", "sketch"]).groupBy("row").agg((1 / F.max("n")).alias("weight"))
+    weighted = stage(documents.join(weights, "row").select("toxic", "weight", "words"))
+    totals = {r["toxic"]: r["n"] for r in weighted.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
+    counted = weighted.select("toxic", "weight", F.explode("words").alias("word")).groupBy("word").agg(
+        *[F.sum(F.when(F.col("toxic") == label, F.col("weight")).otherwise(0.0)).alias(name) for label, name in ((1, "a"), (0, "b"))])
+    return stage(counted), totals
+
+
+def _candidates(counted: DataFrame, n1: float, n0: float) -> list[tuple[str, float]]:
     """Words far more frequent in toxic documents, by the likelihood ratio, the most significant first, with their count there."""
     a, b = F.col("a"), F.col("b")
     share = (a + b) / (n1 + n0)
@@ -259,7 +269,7 @@ def _candidates(counted: DataFrame, n1: float, n0: float) -> list[tuple[str, int
     return [(r["word"], r["a"]) for r in scored.orderBy(F.desc("g"), "word").limit(CANDIDATES).collect()]
 
 
-def _near_words(counted: DataFrame, insults: list[str], listed: frozenset[str]) -> list[tuple[str, float, int]]:
+def _near_words(counted: DataFrame, insults: list[str], listed: frozenset[str]) -> list[tuple[str, float, float]]:
     """Words of other documents that resemble an insult landmark, the most alike first: word, likeness, count."""
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = Kernel(insults)
@@ -269,7 +279,7 @@ def _near_words(counted: DataFrame, insults: list[str], listed: frozenset[str])
             keep = [i for i in np.flatnonzero(best > 0) if words[i] not in listed]
             yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in keep], pa.string()), pa.array(best[keep].astype(float)), batch.column("b").take(pa.array(keep, pa.int64()))], names=["word", "like", "b"])
 
-    rows = counted.where("b > 0").select("word", "b").mapInArrow(alike, "word string, like double, b long")
+    rows = counted.where("b > 0").select("word", "b").mapInArrow(alike, "word string, like double, b double")
     return [tuple(r) for r in rows.orderBy(F.desc("like"), "word").limit(NEAR_WORDS).collect()]
 
 
@@ -333,8 +343,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Mod
     size = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
         return constant
-    counted = _counts(chosen)
-    candidates = _candidates(counted, float(size[1]), float(size[0]))
+    counted, totals = _counts(chosen)
+    candidates = _candidates(counted, totals[1], totals[0])
     if not candidates:
         return constant
     listed = frozenset(w for w, _ in candidates)
