@@ -194,7 +194,7 @@ def find(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, bl
     found = documents.withColumns({
         "__n_words": F.lit(0).cast("long"), "__spans": F.array().cast(f"array<{_SPAN}>"),
         "__items": F.array().cast("array<string>"), "__matches": F.array().cast(f"array<{_MATCH}>")})
-    schema = T.StructType(documents.schema.fields + T._parse_datatype_string(_FOUND).fields)
+    schema = T.StructType(documents.schema.fields + T.StructType.fromDDL(_FOUND).fields)
     for i, items in enumerate(_blocks(benchmark, block_bytes)):
         shared = documents.sparkSession.sparkContext.broadcast(Windows.of(items, window))
 

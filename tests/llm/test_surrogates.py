@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from rows import as_documents, messy_rows
 
 from edupulse.llm import surrogates
@@ -80,14 +82,10 @@ def test_names_keep_gender_and_script():
 
 
 def test_clashes_are_resolved(spark, monkeypatch):
-    """With a surrogate of two digits only, clashes are many; the attempts part them."""
-    real = surrogates.surrogate
-    monkeypatch.setattr(surrogates, "surrogate", lambda kind, entity, key, attempt=0: real(kind, entity, key, attempt)[:2])
+    """With surrogates of two digits only, clashes are many; the attempts part them."""
     found = spark.createDataFrame([("ssn", f"{i:09d}") for i in range(0, 3000, 100)], "kind string, entity string")
-    monkeypatch.setattr(surrogates, "_surrogates", lambda key, attempt: __import__("pyspark.sql.functions", fromlist=["x"]).substring(
-        __import__("pyspark.sql.functions", fromlist=["x"]).sha2(__import__("pyspark.sql.functions", fromlist=["x"]).concat_ws("|", "entity", attempt.cast("string")), 256), 1, 2))
+    monkeypatch.setattr(surrogates, "_surrogates", lambda key, attempt: F.substring(F.sha2(F.concat_ws("|", "entity", attempt.cast("string")), 256), 1, 2))
     key, attempts = surrogates.checked(found)
-    import hashlib
     made = [hashlib.sha256(f"{i:09d}|{attempts.get(('ssn', f'{i:09d}'), 0)}".encode()).hexdigest()[:2] for i in range(0, 3000, 100)]
     assert attempts and len(set(made)) == len(made)
 
