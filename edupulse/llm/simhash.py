@@ -127,13 +127,16 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp and component_id (the least doc_id reachable) of every row."""
+    """doc_id, text_hash, fp, component (its least fp) and component_id (the least doc_id reachable) of every row.
+
+    Several components share a component_id where doc_ids are null or repeated.
+    """
     prints = stage(fingerprints(documents))
     classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(links(classes.select("fp")))
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     labels = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    component = named.join(labels, "component").select("fp", "component_id")
+    component = named.join(labels, "component").select("fp", "component", "component_id")
     return prints.join(component, "fp")
 
 
@@ -150,8 +153,8 @@ def near_dedup(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that stay: of every component the one with the least doc_id (then
     least text hash), once."""
     rows = near_duplicates(documents)
-    first = rows.where("doc_id = component_id").groupBy("component_id", "doc_id").agg(F.min("text_hash").alias("text_hash"))
-    stay = first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("_first"))
+    stay = first.select(F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash")).distinct()
     keyed = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_hash", F.xxhash64("text"))
     # Equal rows are neighbours after the join, whose order the window shares.
     turn = Window.partitionBy("_id", "_hash").orderBy("_id", "_hash")

@@ -7,7 +7,7 @@ import pytest
 
 from edupulse.llm import simhash
 from edupulse.llm.components import connected_components
-from rows import messy_rows
+from rows import as_documents, messy_rows, prose
 
 
 def test_rows(messy):
@@ -69,5 +69,13 @@ def test_one_of_each_component_stays(messy):
     assert set(ids) == set(parts)
 
 
+def test_different_texts_of_null_or_equal_ids_stay(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 80)) for i in (None, None, None, 5, 5, 1, 2)]
+    copies = [(None, rows[0][1]), (9, rows[3][1]), (None, rows[5][1])]
+    kept = simhash.near_dedup(as_documents(spark, rows + copies)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(rows, key=repr)
+
+
 def test_nothing(nothing):
     assert simhash.report(nothing).count() == 0 and simhash.near_dedup(nothing).count() == 0
