@@ -14,7 +14,8 @@ checks all distinct entities: one whose surrogate equals it, or is another's, is
 (``attempt``) until none is left. These exceptions are few by nature; more than ``MAX_EXCEPTIONS`` change
 the key and start over, so the table sent to the tasks is bounded.
 
-Odd cases: a null text stays null, an empty one empty; texts without personal data are unchanged
+Odd cases: what holds no character that can change, as a password of eight underscores, is not an
+entity; a null text stays null, an empty one empty; texts without personal data are unchanged
 to the byte; repeated rows are treated alike; other columns are carried along; an empty table gives no rows.
 """
 
@@ -37,6 +38,7 @@ from edupulse.llm.staging import stage, steps
 KEY = "surrogates"
 MAX_EXCEPTIONS = 50_000
 MAX_EPOCHS = 8
+MAX_ATTEMPTS = 64
 ROUNDS = 6
 
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "secret", "name")
@@ -56,7 +58,7 @@ _WORD = r"[^\W\d_]"
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<named>(?i:(?<!\w)(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer))[\"']?[ \t]*[:=][ \t]*[\"']?(?P<value>[A-Za-z0-9_+/=.~-]{8,512}))"
+    r"|(?P<named>(?i:(?<!\w)(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer))[\"']?[ \t]*[:=][ \t]*[\"']?(?P<value>(?=[_+/=.~-]{0,511}[A-Za-z0-9])[A-Za-z0-9_+/=.~-]{8,512}))"
     r"|(?P<secret>(?<![\w/+-])(?=[A-Za-z_-]{0,64}\d)(?:[0-9a-fA-F]{32,128}|(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza)[A-Za-z0-9_-]{12,128})(?![\w/+-]))"
     r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))"
@@ -68,6 +70,23 @@ _HINT = re.compile(r"[\d@=:]")
 _NAME_HINT = re.compile(r"\b(?:" + "|".join(t for ts in _TITLES.values() for t in ts.split()) + r")\b")
 
 
+# Country codes of one and two digits; all others have three (fixed values, ITU-T E.164).
+_COUNTRIES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _country_digits(digits: str) -> int:
+    return 1 if digits[:1] in _COUNTRIES else 2 if digits[:2] in _COUNTRIES else 3
+
+
+def _changeable(kind: str, entity: str) -> bool:
+    """Whether a character of the entity has others that may stand for it."""
+    if kind == "email":
+        entity = entity.rpartition(".")[0]
+    elif kind == "name":
+        entity = entity.partition(":")[2]
+    return any(len(_class(c)) > 1 for c in entity)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -96,7 +115,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "phone" and not 7 <= len(entity) <= 15:
                 continue
             if found.startswith("+"):
-                entity = f"+{len(re.match(r'\+(\d+)', found)[1])}:{entity}"
+                entity = f"+{_country_digits(entity)}:{entity}"
         elif kind == "secret":
             entity = found
         elif kind == "iban":
@@ -105,7 +124,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             entity = f"{_TITLE_GENDER[m['title'].lower()]}:{found.lower()}"
         else:
             entity = found.lower()
-        out.append((m.start(group), m.end(group), kind, entity))
+        if _changeable(kind, entity):
+            out.append((m.start(group), m.end(group), kind, entity))
     return out
 
 
@@ -272,6 +292,7 @@ def checked(found: DataFrame, key: str = KEY, *, max_exceptions: int = MAX_EXCEP
     for epoch in range(MAX_EPOCHS):
         current = f"{key}\x00{epoch}"
         named = stage(found.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogates(current, F.lit(0))))
+        tries = 0
         while True:
             # What is compared is the surrogate as written, without the gender and country marks.
             plain = F.when(F.col("kind").isin("name", "phone"), F.regexp_replace("entity", "^[^:]*:", "")).otherwise(F.col("entity"))
@@ -279,10 +300,12 @@ def checked(found: DataFrame, key: str = KEY, *, max_exceptions: int = MAX_EXCEP
             turn = Window.partitionBy("kind", "surrogate").orderBy("attempt", "entity")
             clashes = (named.join(shared, ["kind", "surrogate"]).withColumn("_turn", F.row_number().over(turn)).where("_turn > 1")
                        .select("kind", "entity").unionByName(named.where(plain == F.col("surrogate")).select("kind", "entity"))).distinct()
-            # Entities without letter or digit to change, as "0" alone, would clash for ever; there are none by the patterns.
             again = stage(clashes)
             if not again.take(1):
                 break
+            tries += 1
+            if tries > MAX_ATTEMPTS:
+                raise ValueError(f"no surrogate differs from its entity and all others: {again.limit(3).collect()}")
             if again.count() > max_exceptions:
                 named = None
                 break

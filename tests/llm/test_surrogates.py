@@ -90,6 +90,26 @@ def test_clashes_are_resolved(spark, monkeypatch):
     assert attempts and len(set(made)) == len(made)
 
 
+FIXED = ["Call +15551234567 or +1 555 123 4567", "+4915112345678", "+35312345678", "Password: ________", "token = --------", "auth=........",
+         "__@--.com", "x@--.com", "auth=_______a", "Mr ẞ"]
+
+
+def test_entities_that_cannot_change(spark):
+    found = {(k, e) for t in FIXED for _, _, k, e in detect(t)}
+    assert found == {("phone", "+1:15551234567"), ("phone", "+2:4915112345678"), ("phone", "+3:35312345678"), ("email", "x@--.com"), ("secret", "_______a")}
+    key, attempts = surrogates.checked(spark.createDataFrame(sorted(found), "kind string, entity string"))
+    for text in FIXED:
+        out, hidden = replace(text, key, attempts)
+        assert (out != text) == bool(hidden) == bool(detect(text))
+    assert replace("+15551234567", key, attempts)[0].startswith("+1")
+
+
+def test_attempts_end(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "MAX_ATTEMPTS", 2)
+    with pytest.raises(ValueError, match="no surrogate"):
+        surrogates.checked(spark.createDataFrame([("secret", "________")], "kind string, entity string"))
+
+
 def test_whole_table(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + messy_rows()
     docs = as_documents(spark, rows)
