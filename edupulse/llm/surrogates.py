@@ -2,17 +2,19 @@
 
 Found are e-mail addresses, telephone numbers, IPv4 addresses, payment cards, social security
 numbers, account numbers (IBAN), secrets (long keys, and values named as tokens, keys or passwords) and names
-after a title. An entity's surrogate is a keyed permutation of the strings of its kind and shape: a
-Feistel network over its letters and digits, each within its own class (vowel, consonant, digit,
-other letters of the same script and case), so that format, script and length stay and two entities of one kind
-never share a surrogate. Kinds add what makes them valid: addresses keep their network class, cards
+after a title. An entity's surrogate is a keyed permutation of the strings of its kind and shape, over its
+letters and digits, each within its own class (vowel, consonant, digit,
+other letters of the same script and case), so that format, script and length stay. Kinds add what makes
+them valid: addresses keep their network class, cards
 their issuer digit and the (in)validity of their check digit, e-mails the top domain, telephones the
-country. Given names with a known gender are permuted among the names of that gender and script.
+country. Given names with a known gender are permuted among the names of that gender and script, whatever
+the title.
 
-The same entity (whatever its spacing or case) has the same surrogate everywhere, without a table. Spark
-checks all distinct entities: one whose surrogate equals it, or is another's, is given the next permutation
-(``attempt``) until none is left. These exceptions are few by nature; more than ``MAX_EXCEPTIONS`` change
-the key and start over, so the table sent to the tasks is bounded.
+The permutation is P, a step and P back, where P is a keyed Feistel network and the step goes to the next
+string in one cycle through all of the shape. So no string is its own surrogate, no two of one kind share
+one, and the same entity (whatever its spacing, case or title) has the same surrogate everywhere, without a
+table or a limit. Where only some strings are allowed, P and the step go on until the next allowed one,
+which is a permutation of these. ``checked`` verifies all this over a set of entities.
 
 Odd cases: what holds no character that can change, as a password of eight underscores, is not an
 entity; a null text stays null, an empty one empty; texts without personal data are unchanged
@@ -51,7 +53,6 @@ GIVEN_NAMES = {
     ("m", "cyrillic"): "Иван Пётр Алексей Дмитрий Сергей Андрей Михаил Николай".split(),
 }
 _TITLES = {"m": "Mr Sir Herr Monsieur Señor Don господин", "f": "Mrs Ms Miss Madam Frau Madame Mademoiselle Señora Señorita Doña госпожа", "": "Dr Prof Doctor Professor"}
-_TITLE_GENDER = {t.lower(): g for g, ts in _TITLES.items() for t in ts.split()}
 _NAME_GENDER = {n.lower(): key for key, names in GIVEN_NAMES.items() for n in names}
 
 _WORD = r"[^\W\d_]"
@@ -82,8 +83,6 @@ def _changeable(kind: str, entity: str) -> bool:
     """Whether a character of the entity has others that may stand for it."""
     if kind == "email":
         entity = entity.rpartition(".")[0]
-    elif kind == "name":
-        entity = entity.partition(":")[2]
     return any(len(_class(c)) > 1 for c in entity)
 
 
@@ -121,7 +120,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         elif kind == "iban":
             entity = found.replace(" ", "")
         elif kind == "name":
-            entity = f"{_TITLE_GENDER[m['title'].lower()]}:{found.lower()}"
+            entity = found.lower()
         else:
             entity = found.lower()
         if _changeable(kind, entity):
@@ -162,73 +161,110 @@ def _numbers(key: str, count: int) -> list[int]:
 _HEX = "0123456789abcdef"
 
 
-def permute(text: str, key: str, alphabet: str | None = None) -> str:
+def _mix(values: list[int], sizes: list[int], key: str, back: bool = False) -> list[int]:
+    """A keyed permutation of numbers below ``sizes``, or its inverse."""
+    if len(values) == 1:
+        order = sorted(range(sizes[0]), key=_numbers(key, sizes[0]).__getitem__)
+        return [order.index(values[0])] if back else [order[values[0]]]
+    values = list(values)
+    # Two halves in turn are shifted by what the other one says.
+    sides = [range(0, len(values), 2), range(1, len(values), 2)]
+    for turn in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        mine, other = sides[turn % 2], sides[1 - turn % 2]
+        said = ",".join(str(values[i]) for i in other)
+        for i, shift in zip(mine, _numbers(f"{key}\x00{turn}\x00{said}", len(mine)), strict=True):
+            values[i] = (values[i] - shift if back else values[i] + shift) % sizes[i]
+    return values
+
+
+def _next(values: list[int], sizes: list[int]) -> list[int]:
+    """The next of all such numbers, the first after the last."""
+    values = list(values)
+    for i, size in enumerate(sizes):
+        values[i] = (values[i] + 1) % size
+        if values[i]:
+            break
+    return values
+
+
+def _replace_numbers(values: list[int], sizes: list[int], key: str, allowed) -> list[int]:
+    """A keyed permutation of the allowed numbers that keeps none in place, if there are two."""
+    for move in (lambda v: _mix(v, sizes, key), lambda v: _next(v, sizes), lambda v: _mix(v, sizes, key, back=True)):
+        values = move(values)
+        while not allowed(values):
+            values = move(values)
+    return values
+
+
+def permute(text: str, key: str, alphabet: str | None = None, allowed=None) -> str:
     """A keyed permutation of the strings with ``text``'s shape (the classes of its characters, or
-    one ``alphabet`` for all)."""
+    one ``alphabet`` for all) that are allowed, as ``text`` is."""
     classes = [alphabet or _class(c) for c in text]
-    free = [i for i, c in enumerate(classes) if len(c) > 1]
+    # Letters first: they change with every step, so that runs of strings that are not allowed are short.
+    free = sorted((i for i, c in enumerate(classes) if len(c) > 1), key=lambda i: classes[i].isdigit())
     if not free:
         return text
-    values = [classes[i].index(text[i]) for i in free]
-    sizes = [len(classes[i]) for i in free]
-    shape = "".join(c[0] for c in classes)
-    # Two halves in turn are shifted by what the other one says.
-    sides = [list(range(0, len(free), 2)), list(range(1, len(free), 2))]
-    for turn in range(ROUNDS):
-        mine, other = sides[turn % 2], sides[1 - turn % 2]
-        said = ",".join(str(values[i]) for i in other)
-        for i, shift in zip(mine, _numbers(f"{key}\x00{shape}\x00{turn}\x00{said}", len(mine)), strict=True):
-            values[i] = (values[i] + shift) % sizes[i]
     out = list(text)
-    for i, v in zip(free, values, strict=True):
-        out[i] = classes[i][v]
-    return "".join(out)
 
+    def written(values: list[int]) -> str:
+        for i, v in zip(free, values, strict=True):
+            out[i] = classes[i][v]
+        return "".join(out)
 
-def _walk(value: str, key: str, allowed, alphabet: str | None = None) -> str:
-    """The permutation again until the result is allowed, as ``value`` is: a permutation of the allowed."""
-    out = permute(value, key, alphabet)
-    for _ in range(100_000):
-        if allowed(out):
-            return out
-        out = permute(out, key, alphabet)
-    raise ValueError("no allowed surrogate")
+    start = [classes[i].index(text[i]) for i in free]
+    shape = "".join(c[0] for c in classes)
+    return written(_replace_numbers(
+        start, [len(classes[i]) for i in free], f"{key}\x00{shape}", (lambda v: allowed(written(v))) if allowed else lambda v: True))
 
 
-def _network(ip: tuple[int, ...]) -> str:
-    if ip[0] in (0, 10, 127) or ip[0] >= 224:
-        return str(min(ip[0], 224))
-    return "private" if ip[:2] == (192, 168) or ip[0] == 172 and 16 <= ip[1] < 32 else "link" if ip[:2] == (169, 254) else "public"
+# The networks by their class: ranges of addresses that stay among themselves.
+_PRIVATE = [(0xAC100000, 0xAC200000), (0xC0A80000, 0xC0A90000)]
+_NETWORKS = [[(0, 1 << 24)], [(10 << 24, 11 << 24)], [(127 << 24, 128 << 24)], [(0xA9FE0000, 0xA9FF0000)], _PRIVATE, [(224 << 24, 1 << 32)]]
+_TAKEN = sorted(r for ranges in _NETWORKS for r in ranges)
+_PUBLIC = [(end, start) for (_, end), (start, _) in zip(_TAKEN, _TAKEN[1:], strict=False) if end < start]
 
 
 def _ip(entity: str, key: str) -> str:
-    """A permutation of 32-bit numbers by halves, walked until the network class is the same."""
-    parts = tuple(int(x) for x in entity.split("."))
-    left, right = parts[0] << 8 | parts[1], parts[2] << 8 | parts[3]
-    while True:
-        for turn in range(ROUNDS):
-            left, right = right, left ^ (_numbers(f"{key}\x00{turn}\x00{right}", 1)[0] & 0xFFFF)
-        out = (left >> 8, left & 255, right >> 8, right & 255)
-        if _network(out) == _network(parts):
-            return ".".join(map(str, out))
+    """A permutation of the addresses of the same network class, by their place in it."""
+    address = int.from_bytes(bytes(int(x) for x in entity.split(".")), "big")
+    ranges = next((rs for rs in _NETWORKS if any(a <= address < b for a, b in rs)), _PUBLIC)
+    count = sum(b - a for a, b in ranges)
+    place = 0
+    for a, b in ranges:
+        if a <= address < b:
+            place += address - a
+            break
+        place += b - a
+    half = 1 << -(-(count - 1).bit_length() // 2)
+    low, high = _replace_numbers([place % half, place // half], [half, half], f"{key}\x00{ranges[0][0]}", lambda v: v[0] + v[1] * half < count)
+    place = low + high * half
+    for a, b in ranges:
+        if place < b - a:
+            break
+        place -= b - a
+    return ".".join(map(str, (a + place).to_bytes(4, "big")))
 
 
 def _name(entity: str, key: str) -> str:
-    gender, _, person = entity.partition(":")
+    person = entity.rpartition(":")[2]
     out = []
     for i, word in enumerate(person.split(" ")):
         known = _NAME_GENDER.get(word)
-        if known and i == 0 and known[0] == (gender or known[0]):
+        if known and i == 0:
             names = [n.lower() for n in GIVEN_NAMES[known]]
             order = sorted(range(len(names)), key=lambda j: _numbers(f"{key}\x00{known}\x00{j}", 1))
             turn = order.index(names.index(word))
             out.append(names[order[(turn + 1) % len(names)]])
         else:
             # Not a listed name, so that it cannot meet the surrogate of one.
-            out.append(_walk(word, key, lambda w, i=i: i > 0 or w not in _NAME_GENDER))
+            out.append(permute(word, key, allowed=lambda w, i=i: i > 0 or w not in _NAME_GENDER))
     return " ".join(out)
 
 
+def _hex_alphabet(text: str) -> str | None:
+    return next((a for a in (_HEX, _HEX.upper()) if set(text) <= set(a) and not text.isdigit()), None)
+
+
 def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
     """What stands for ``entity`` (in the form that ``detect`` gives)."""
     key = f"{key}\x00{kind}\x00{attempt}"
@@ -236,7 +272,7 @@ def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
         return _ip(entity, key)
     if kind == "card":
         rest, valid = entity[1:], luhn(entity)
-        return entity[0] + _walk(rest, f"{key}{entity[0]}", lambda r: luhn(entity[0] + r) == valid)
+        return entity[0] + permute(rest, f"{key}{entity[0]}", allowed=lambda r: luhn(entity[0] + r) == valid)
     if kind == "phone" and entity.startswith("+"):
         head, _, digits = entity.partition(":")
         country = digits[: int(head[1:])]
@@ -250,9 +286,9 @@ def surrogate(kind: str, entity: str, key: str, attempt: int = 0) -> str:
     if kind == "name":
         return _name(entity, key)
     if kind == "secret":
-        for alphabet in (_HEX, _HEX.upper()):
-            if set(entity) <= set(alphabet) and not entity.isdigit():
-                return _walk(entity, key, lambda s: not s.isdigit(), alphabet)
+        # Hexadecimal strings stay so, and no other becomes one.
+        alphabet = _hex_alphabet(entity)
+        return permute(entity, key, alphabet, lambda s: _hex_alphabet(s) == alphabet)
     return permute(entity, key)
 
 
@@ -286,19 +322,27 @@ def _surrogates(key: str, attempt: Column) -> Column:
     return make("kind", "entity", attempt)
 
 
+def _epoch_key(key: str, epoch: int = 0) -> str:
+    return f"{key}\x00{epoch}"
+
+
 def checked(found: DataFrame, key: str = KEY, *, max_exceptions: int = MAX_EXCEPTIONS) -> tuple[str, dict[tuple[str, str], int]]:
-    """The key used and the attempt of each exception, after which all surrogates differ from their
-    entities and from each other. ``found``: distinct (kind, entity)."""
+    """Counts over the entities ``found``, distinct (kind, entity), whether all surrogates differ from their
+    entities and from each other: the key that ``pseudonymize`` uses, and no exception.
+
+    Were the permutations not one to one, the exceptions would be given other attempts.
+    """
     for epoch in range(MAX_EPOCHS):
-        current = f"{key}\x00{epoch}"
+        current = _epoch_key(key, epoch)
         named = stage(found.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogates(current, F.lit(0))))
         tries = 0
         while True:
-            # What is compared is the surrogate as written, without the gender and country marks.
-            plain = F.when(F.col("kind").isin("name", "phone"), F.regexp_replace("entity", "^[^:]*:", "")).otherwise(F.col("entity"))
-            shared = named.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            turn = Window.partitionBy("kind", "surrogate").orderBy("attempt", "entity")
-            clashes = (named.join(shared, ["kind", "surrogate"]).withColumn("_turn", F.row_number().over(turn)).where("_turn > 1")
+            # What is compared is the surrogate as written: without the country's length, but a plus tells apart.
+            plain = F.when(F.col("kind") == "phone", F.regexp_replace("entity", "^[^:]*:", "")).otherwise(F.col("entity"))
+            named = named.withColumn("_plus", F.col("entity").startswith("+"))
+            shared = named.groupBy("kind", "_plus", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            turn = Window.partitionBy("kind", "_plus", "surrogate").orderBy("attempt", "entity")
+            clashes = (named.join(shared, ["kind", "_plus", "surrogate"]).withColumn("_turn", F.row_number().over(turn)).where("_turn > 1")
                        .select("kind", "entity").unionByName(named.where(plain == F.col("surrogate")).select("kind", "entity"))).distinct()
             again = stage(clashes)
             if not again.take(1):
@@ -320,11 +364,11 @@ def checked(found: DataFrame, key: str = KEY, *, max_exceptions: int = MAX_EXCEP
     raise ValueError("too many clashing surrogates under every key")
 
 
-def replace(text: str, key: str, attempts: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
+def replace(text: str, key: str, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, list[str]]:
     """The text with surrogates, and the kinds replaced."""
     out, at, kinds = [], 0, []
     for start, end, kind, entity in detect(text):
-        out += [text[at:start], _written(text[start:end], kind, surrogate(kind, entity, key, attempts.get((kind, entity), 0)))]
+        out += [text[at:start], _written(text[start:end], kind, surrogate(kind, entity, key, (attempts or {}).get((kind, entity), 0)))]
         at = end
         kinds.append(kind)
     return "".join([*out, text[at:]]) if kinds else text, kinds
@@ -332,15 +376,14 @@ def replace(text: str, key: str, attempts: dict[tuple[str, str], int]) -> tuple[
 
 def pseudonymize(documents: DataFrame, key: str = KEY, *, column: str = "text") -> DataFrame:
     """``documents`` with surrogates in ``column``, and __n_<kind> for every kind replaced."""
-    current, exceptions = checked(entities(documents, column), key)
-    shared = documents.sparkSession.sparkContext.broadcast(exceptions)
+    current = _epoch_key(key)
     columns = documents.columns
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, column):
             texts, counts = [], np.zeros((batch.num_rows, len(KINDS)), np.int64)
             for i, text in enumerate(batch.column(column).to_pylist()):
-                changed, kinds = replace(text, current, shared.value) if text else (text, [])
+                changed, kinds = replace(text, current) if text else (text, [])
                 texts.append(changed)
                 for kind in kinds:
                     counts[i, KINDS.index(kind)] += 1

@@ -97,6 +97,7 @@ FIXED = ["Call +15551234567 or +1 555 123 4567", "+4915112345678", "+35312345678
 def test_entities_that_cannot_change(spark):
     found = {(k, e) for t in FIXED for _, _, k, e in detect(t)}
     assert found == {("phone", "+1:15551234567"), ("phone", "+2:4915112345678"), ("phone", "+3:35312345678"), ("email", "x@--.com"), ("secret", "_______a")}
+    assert all(surrogate(k, e, f"{KEY}{n}") != e for k, e in found for n in range(20))
     key, attempts = surrogates.checked(spark.createDataFrame(sorted(found), "kind string, entity string"))
     for text in FIXED:
         out, hidden = replace(text, key, attempts)
@@ -104,6 +105,25 @@ def test_entities_that_cannot_change(spark):
     assert replace("+15551234567", key, attempts)[0].startswith("+1")
 
 
+def test_no_exceptions_by_construction(spark):
+    """Also where every string of a shape is taken, and whatever the title."""
+    names = [*"aeiou", "smith", "anna smith", *(f"{a}{b}" for a in "bcdfg" for b in "aeiou"), *map(str.lower, surrogates.GIVEN_NAMES["m", "latin"])]
+    rows = {("name", e) for t in ("Mr", "Dr", "Mrs") for n in names for _, _, _, e in detect(f"{t} {n.title()}")}
+    assert len(rows) == len(names)
+    rows |= {("ssn", f"{i:09d}") for i in range(500)} | {("secret", f"{x}{i}bcdabcd") for x in "abzZ" for i in range(10)}
+    rows |= {("ip", f"{a}.{b}") for a in ("169.254", "172.31", "192.168", "0.0", "8.8", "255.255") for b in ("0.1", "255.255", "7.7")}
+    rows |= {("phone", "4915112345"), ("phone", "+2:4915112345")}
+    _, attempts = surrogates.checked(spark.createDataFrame(sorted(rows), "kind string, entity string"))
+    assert attempts == {}
+    assert surrogate("ip", "169.254.9.9", "k").startswith("169.254.") and surrogate("ip", "172.20.1.1", "k").startswith(("172.", "192.168."))
+
+
+def test_person_has_one_surrogate_under_every_title(spark):
+    docs = as_documents(spark, [(1, "Dr Anna Smith"), (2, "Ms Anna Smith"), (3, "Mr Smith"), (4, "Mrs Smith"), (5, "Dr Smith")])
+    out = {r["doc_id"]: r["text"].split(" ", 1)[1] for r in surrogates.pseudonymize(docs).collect()}
+    assert out[1] == out[2] and out[3] == out[4] == out[5] and len(set(out.values())) == 2
+
+
 def test_attempts_end(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "MAX_ATTEMPTS", 2)
     with pytest.raises(ValueError, match="no surrogate"):
