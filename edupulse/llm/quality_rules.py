@@ -11,7 +11,7 @@ strata and rules. So with confidence 1 - ``LEVEL`` every stratum loses at most `
 documents, all rules together. Of the valid cutoffs the one that rejects most bad documents is used,
 each good document counting as ``PENALTY`` bad ones; the milder one on ties; none if nothing is won.
 
-Up to ``HOLDOUT`` labelled documents are used; beyond, a share of them by the hash of doc_id.
+All labelled documents are used. They are counted before any test, so the tests cost the same for any number of them.
 
 DataFrame functions only. Odd cases: a null text has no words and fails the base rule; a null
 language is a stratum of its own; labels without a document, with a null, or contradicting each
@@ -21,6 +21,8 @@ alike; other columns are carried along by ``filter_documents``; an empty table g
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,6 @@ from edupulse.operators.sizes import broadcast_if_small
 RISK = 0.02
 LEVEL = 0.05
 PENALTY = 10
-HOLDOUT = 1_000_000
 
 RULES = ("symbols", "capitals", "lines", "repeats")
 # Cutoffs of every rule, in thousandths, from the mildest on.
@@ -81,14 +82,31 @@ def rates() -> dict[str, Column]:
             "lines": _rate("n_dup_lines", "n_lines"), "repeats": _rate("n_repeat_words", "n_words")}
 
 
+def _stirling_error(x: Column) -> Column:
+    """ln x! less Stirling's (x + 1/2) ln x - x + ln(2 pi) / 2, for whole x from 1 on."""
+    x = x.cast("double")
+    exact = [math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - math.log(2 * math.pi) / 2 for i in range(1, 16)]
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x
+    return F.when(x < 16, F.get(F.array(*[F.lit(e) for e in exact]), x.cast("int") - 1)).otherwise(series)
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k) for k < n, as a sum of terms that each follow from the one before."""
-    odds = p / (1 - p)
-    # ln C(n, i) p^i (1 - p)^(n - i); the first term is (1 - p)^n.
-    zero = F.struct((n * F.log(F.lit(1 - p))).alias("term"), F.lit(0.0).alias("sum"))
+    """P(Bin(n, p) <= k) for k < n, as a sum of terms from the last on, each from the one before.
+
+    It ends at nine standard deviations below the mean or k, where terms are under 1e-17 of the largest.
+    """
+    odds, mean = (1 - p) / p, n * p
+    few, all_ = k.cast("double"), n.cast("double")
+    rest, off = all_ - few, few - mean
+    # ln C(n, k) p^k (1 - p)^(n - k), by its deviance from the mean.
+    last = F.when(k == 0, all_ * math.log1p(-p)).otherwise(
+        _stirling_error(all_) - _stirling_error(few) - _stirling_error(rest) + F.log(all_ / (2 * math.pi * few * rest)) / 2
+        - few * F.log1p(off / mean) + rest * F.log1p(off / rest))
+    lowest = F.greatest(F.lit(0), F.floor(F.least(few, mean) - 9 * F.sqrt(mean) - 50)).cast("long")
+    start = F.struct(last.cast("double").alias("term"), F.lit(0.0).alias("sum"))
     return F.aggregate(
-        F.sequence(F.lit(0).cast("long"), k), zero,
-        lambda s, i: F.struct((s["term"] + F.log((n - i) / (i + 1) * odds)).alias("term"), (s["sum"] + F.exp(s["term"])).alias("sum")),
+        F.sequence(k, lowest, F.lit(-1).cast("long")), start,
+        lambda s, i: F.struct((s["term"] + F.log(F.greatest(i, F.lit(1)) / (n - i + 1) * odds)).alias("term"), (s["sum"] + F.exp(s["term"])).alias("sum")),
         lambda s: s["sum"])
 
 
@@ -100,9 +118,6 @@ def cutoffs(statistics: DataFrame, labels: DataFrame, *, risk: float = RISK, lev
     """
     good = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
             .agg(F.min("quality").alias("_low"), F.max("quality").alias("_good")).where("_low = _good").select("doc_id", "_good"))
-    known = good.count()
-    if known > HOLDOUT:
-        good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(known)) < HOLDOUT)
     steps = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), value.alias("value")) for r, value in rates().items()]))
     rows = (statistics.where(~base_failed()).join(good, "doc_id")
             .select(F.coalesce("lang", F.lit("")).alias("stratum"), (F.col("_good") == 1).alias("good"), steps.alias("_s")).select("stratum", "good", "_s.*"))
@@ -119,7 +134,7 @@ def cutoffs(statistics: DataFrame, labels: DataFrame, *, risk: float = RISK, lev
                      F.sum(F.when(F.col("n_rejecting") >= len(GRID) - F.col("step"), F.col("bad")).otherwise(0)).alias("bad")))
     tests = totals.count()
     share = risk / len(RULES)
-    # More rejected than expected at the limit cannot be significant; so no sum is longer than share * n_good.
+    # More rejected than expected at the limit cannot be significant.
     hopeful = F.col("good") <= F.floor(F.col("n_good") * share)
     valid = F.when(hopeful & (F.col("good") < F.col("n_good")), binomial_tail(F.col("good"), F.col("n_good"), share) <= level / max(tests, 1)).otherwise(False)
     upto = Window.partitionBy("stratum", "rule").orderBy("step")

@@ -67,6 +67,23 @@ def test_cutoffs_reject_bad_and_bound_the_loss(labelled):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in rows if r["kept"]}
 
 
+def test_all_labels_choose(labelled, monkeypatch):
+    monkeypatch.setattr(quality_rules, "HOLDOUT", 300, raising=False)
+    docs, labels = labelled
+    limits = quality_rules.cutoffs(quality_rules.base_statistics(docs, "doc_id", "lang"), labels).collect()
+    assert [(r["stratum"], r["_cut_symbols"] is not None) for r in limits] == [("big", True)]
+
+
+@pytest.mark.parametrize("n,k", [(400_000_000, 1_996_000), (400_000_000, 1_980_000), (3_000_000, 14_900)])
+def test_binomial_tail_of_many(spark, n, k, p=0.005):
+    row = spark.range(1).select(quality_rules.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p).alias("x")).first()
+    # Normal law with the first correction for skewness, which is off by about 1 / (n p) here.
+    sd = math.sqrt(n * p * (1 - p))
+    z = (k + 0.5 - n * p) / sd
+    want = math.erfc(-z / math.sqrt(2)) / 2 - (1 - 2 * p) / (6 * sd) * (z * z - 1) * math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    assert row["x"] == pytest.approx(want, rel=1e-3)
+
+
 def test_bad_labels_alone_or_noise_give_no_cutoff(labelled):
     docs, labels = labelled
     statistics = quality_rules.base_statistics(docs, "doc_id", "lang")
