@@ -24,6 +24,13 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string, text string")
 
 
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_long_attribute_is_no_text(quote):
+    html = f"<article><p>Before it.</p><div class=sidebar data-state={quote}{'a > b ' * 20_000}{quote}>Inside it.</div><p>After it.</p></article>"
+    found = blocks(html)
+    assert [b.text for b in found] == ["Before it.", "Inside it.", "After it."]
+
+
 def test_article_text(pages):
     rows = extract(pages).collect()
     assert len(rows) == 47
