@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edupulse.llm import decontamination, quality_rules, sharding, substrings
+from edupulse.llm import decontamination, prefix_trie, quality_rules, sharding, substrings
 
 _BLANK = r"\x20\x09-\x0D"
 
@@ -110,12 +110,10 @@ def _sharding() -> str:
     return f"""
 WITH RECURSIVE bytes AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, hex(encode(coalesce(text, ''))) AS h FROM documents),
-entry AS (SELECT list(c ORDER BY b) AS t FROM (
-  SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+{_CRC_ENTRY},
 summed AS (
   SELECT doc_id, n_bytes + 1 AS size,
-    xor(list_reduce(list_prepend(4294967295, list_transform(range(n_bytes), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
-      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+    {_CRC} AS text_crc32
   FROM bytes, entry),
 numbered AS (
   SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS id, count(*) OVER () AS n FROM summed),
@@ -126,9 +124,47 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 FROM numbered JOIN walk USING (id) WHERE x < walk.n"""
 
 
+# CRC32 of each row's hexadecimal ``h`` of ``n_bytes`` bytes, by the table of the reflected polynomial in CTE ``entry``.
+_CRC_ENTRY = """entry AS (SELECT list(c ORDER BY b) AS t FROM (
+  SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b)))"""
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(n_bytes), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _prefix_trie() -> str:
+    t = prefix_trie
+    return f"""
+WITH {_CRC_ENTRY},
+turns AS (
+  SELECT conv_id, turn, md5(concat_ws(':', length(coalesce(role, '')), coalesce(role, ''), coalesce(text, ''))) AS k, length(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS ks, list(size ORDER BY turn NULLS FIRST, k) AS sizes FROM turns GROUP BY conv_id),
+taken AS (
+  SELECT conv_id, ({_CRC} % {t.HEAD_TURNS})::INT AS h
+  FROM (SELECT conv_id, length(conv_id::VARCHAR) AS n_bytes, hex(encode(conv_id::VARCHAR)) AS h FROM own), entry),
+rebuilt AS (
+  SELECT own.conv_id, list_concat(coalesce(base.ks, [])[:h], own.ks[h + 1:]) AS ks, list_concat(coalesce(base.sizes, [])[:h], own.sizes[h + 1:]) AS sizes
+  FROM own JOIN taken USING (conv_id) LEFT JOIN own AS base ON base.conv_id = own.conv_id - own.conv_id % {t.SHARED}),
+prefixes AS (
+  SELECT conv_id, d, array_to_string(ks[:d], '') AS path, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, len(ks) = d AS ended
+  FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, max(size) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends
+  FROM prefixes GROUP BY path, d),
+children AS (SELECT left(path, 32 * (d - 1)) AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT left(path, 32 * a) AS path, sum((n - 1) * size) AS saved, sum((kids = 0)::INT) AS leaves
+  FROM (SELECT nodes.*, coalesce(children.n, 0) AS kids, unnest(range(0, d + 1)) AS a FROM nodes LEFT JOIN children USING (path)) GROUP BY ALL)
+SELECT nodes.conv_id, nodes.d::BIGINT AS depth, parent.conv_id AS parent_conv_id, nodes.n::BIGINT AS n_convs, coalesce(children.n, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes JOIN below USING (path) LEFT JOIN children USING (path)
+LEFT JOIN nodes AS parent ON nodes.d > 0 AND parent.path = left(nodes.path, 32 * (nodes.d - 1))"""
+
+
 ORACLES = {
     "op5_substring_dedup": _substrings(),
     "op8_quality_rules": _quality_rules(),
     "op9_sharding": _sharding(),
     "op10_decontamination": _decontamination(),
+    "op11_prefix_trie": _prefix_trie(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edupulse.llm import decontamination, extraction, packing, quality_rules, sharding, simhash, substrings, surrogates, token_store, toxicity
+from edupulse.llm import decontamination, extraction, packing, prefix_trie, quality_rules, sharding, simhash, substrings, surrogates, token_store, toxicity
 from edupulse.llm.oracles import ORACLES  # noqa: F401
 from edupulse.llm.staging import ship_library, table
 
@@ -77,3 +77,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_prefix_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
