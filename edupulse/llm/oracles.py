@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edupulse.llm import decontamination, prefix_trie, quality_rules, sharding, substrings
+from edupulse.llm import decontamination, hard_negatives, prefix_trie, quality_rules, sharding, substrings
 
 _BLANK = r"\x20\x09-\x0D"
 
@@ -161,10 +161,30 @@ FROM nodes JOIN below USING (path) LEFT JOIN children USING (path)
 LEFT JOIN nodes AS parent ON nodes.d > 0 AND parent.path = left(nodes.path, 32 * (nodes.d - 1))"""
 
 
+def _hard_negatives() -> str:
+    h = hard_negatives
+    return f"""
+WITH packed AS (
+  SELECT vec_id, CASE WHEN vec_id % {h.RELABEL_EVERY} = 0 THEN (label + 1) % {h.LABELS} ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({h.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM packed a, packed c WHERE a.vec_id % {h.ANCHOR_EVERY} = 0 AND a.vec_id <> c.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {h.POSITIVES})
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND {h.LOWEST} * positive_score <= 100 * score AND 100 * score <= {h.HIGHEST} * positive_score
+QUALIFY rank <= {h.NEGATIVES}"""
+
+
 ORACLES = {
     "op5_substring_dedup": _substrings(),
     "op8_quality_rules": _quality_rules(),
     "op9_sharding": _sharding(),
     "op10_decontamination": _decontamination(),
     "op11_prefix_trie": _prefix_trie(),
+    "op13_hard_negatives": _hard_negatives(),
 }
