@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edupulse.llm import decontamination, hard_negatives, prefix_trie, quality_rules, sharding, substrings
+from edupulse.llm import decontamination, hard_negatives, prefix_trie, quality_rules, sharding, substrings, url_filters
 
 _BLANK = r"\x20\x09-\x0D"
 
@@ -180,11 +180,51 @@ FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND {h.LOWEST} * po
 QUALIFY rank <= {h.NEGATIVES}"""
 
 
+def _url_filters() -> str:
+    u = url_filters
+    upper, lower = u._UPPER, u._LOWER
+
+    def part(group: int) -> str:
+        return rf"regexp_extract(coalesce(url, ''), '(?s)^(.*?)://([^/?#]*)([^?#]*)(.*)$', {group})"
+
+    marked = ", ".join(
+        rf"list_transform(list_filter(string_split_regex(translate({part(g)}, '{upper}', '{lower}'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: '{m}:' || w)"
+        for m, g in (("s", 1), ("h", 2), ("p", 3), ("q", 4)))
+    rules = sorted(u.RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN" for h, p, _ in rules]
+    name = "CASE " + " ".join(f"{f} '{h}{p}'" for f, (h, p, _) in zip(fits, rules, strict=True)) + " END"
+    said = "CASE " + " ".join(f"{f} '{v}'" for f, (_, _, v) in zip(fits, rules, strict=True)) + " END"
+    return rf"""
+WITH told AS (
+  SELECT *, {name} AS rule, {said} AS said FROM (
+    SELECT page_id, url, translate({part(2)}, '{upper}', '{lower}') AS host, {part(3)} AS path, list_distinct(flatten([{marked}])) AS words FROM pages)),
+bad AS (
+  SELECT doc_id, bool_or(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS blocked FROM labels
+  WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
+labelled AS (SELECT words, blocked FROM told JOIN bad ON doc_id = try_cast(regexp_extract(path, '([0-9]{{1,18}})(?:\.[a-z]+)?/?$', 1) AS BIGINT)),
+least AS (SELECT greatest({u.LEAST}, ceil({round(u.SHARE * 10_000)} * count(*) / 10000)) AS t FROM labelled),
+frequent AS (SELECT list(word) AS f FROM (SELECT word FROM (SELECT unnest(words) AS word FROM labelled) GROUP BY word HAVING count(*) >= (SELECT t FROM least))),
+held AS (SELECT list_sort(list_filter(words, lambda w: list_contains(f, w))) AS tokens, blocked FROM labelled, frequent),
+subsets AS (
+  SELECT list_filter(tokens, lambda w, i: (m >> (i - 1)) & 1 = 1) AS wanted, blocked
+  FROM (SELECT tokens, blocked, unnest(range(1, 1 << len(tokens))) AS m FROM held)),
+counted AS (SELECT wanted, count(*) AS n, count(*) FILTER (blocked) AS hits FROM subsets GROUP BY wanted),
+sides AS (SELECT wanted, n, '{u.BLOCK}' AS label, hits FROM counted UNION ALL SELECT wanted, n, '{u.ALLOW}', n - hits FROM counted),
+mined AS (SELECT *, hits / n AS confidence FROM sides WHERE hits >= (SELECT t FROM least) AND hits / n >= {u.CONFIDENCE}),
+sets AS (SELECT DISTINCT words FROM told WHERE said IS NULL),
+best AS (
+  SELECT words, label, array_to_string(wanted, ' ') AS learned FROM sets JOIN mined ON list_has_all(words, wanted)
+  QUALIFY row_number() OVER (PARTITION BY words ORDER BY confidence DESC, n DESC, len(wanted), array_to_string(wanted, ' '), label) = 1)
+SELECT page_id, host, path, rule, coalesce(said, label, '{u.ALLOW}') AS verdict, CASE WHEN said IS NULL THEN learned END AS learned
+FROM told LEFT JOIN best USING (words)"""
+
+
 ORACLES = {
     "op5_substring_dedup": _substrings(),
     "op8_quality_rules": _quality_rules(),
     "op9_sharding": _sharding(),
     "op10_decontamination": _decontamination(),
     "op11_prefix_trie": _prefix_trie(),
+    "op12_url_filters": _url_filters(),
     "op13_hard_negatives": _hard_negatives(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edupulse.llm import decontamination, extraction, hard_negatives, packing, prefix_trie, quality_rules, sharding, simhash, substrings, surrogates, token_store, toxicity
+from edupulse.llm import decontamination, extraction, hard_negatives, packing, prefix_trie, quality_rules, sharding, simhash, substrings, surrogates, token_store, toxicity, url_filters
 from edupulse.llm.oracles import ORACLES  # noqa: F401
 from edupulse.llm.staging import ship_library, table
 
@@ -84,6 +84,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.report(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_url_filters")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 @query("op13_hard_negatives")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
