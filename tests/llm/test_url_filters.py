@@ -88,7 +88,7 @@ def test_odd_urls(spark):
             (10, "http://example.com/en/"), (11, "ftp://a.www.EXAMPLE.com/en/?q=://z"), (12, "http://example.com?x=/en/"), (13, "http://example.com:80/en/"), (14, "a://b://c.com/en/"),
             (15, "http://h.org/\n/é日本/#x"), (16, "http://h.org/" + "/".join(f"w{i}" for i in range(5_000)))]
     urls += [(17, f"http://long.org/{'/'.join(f'k{i}' for i in range(40))}")] * 25 + [(1, None)] * 2
-    labelled = [(url, True) for i, url in urls if i == 17] + [(None, True), (None, False), ("", True), ("x", False)] * 3 + [(urls[16][1], False)] * 3
+    labelled = [(url, True) for i, url in urls if i == 17] + [(None, True), (None, False), ("", True), ("x", False)] * 3 + [(urls[16][1], False)] * 3 + [("http://other.org/z", False)] * 60
     got = sorted((tuple(r) for r in u.judge(*frames(spark, urls, labelled)).collect()), key=str)
     want = plain(urls, [], 1, 1.0)
     assert [r[:4] for r in got] == [r[:4] for r in want]
