@@ -21,8 +21,8 @@ WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 0
 
-# Pieces in each of a worker's two generations of memory, and text encoded at a time.
-MEMORY = 1_000_000
+# Pieces in each of a worker's two generations of memory (about 45 MB each when full), and text encoded at a time.
+MEMORY = 250_000
 STEP = 3 << 20
 _GROUP = 200
 
@@ -32,6 +32,8 @@ _WIDE_SPACE = re.compile(r"[ \n][^\S\n]|[^\S\n][ \n]")
 _RARE_SPACES = [c for c in map(chr, [*range(0x3001)]) if c.isspace() and c not in " \n"]
 # The normalizer that _fold stands for; white space in a piece is dropped by the pre-tokenizer anyway.
 _FOLDING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+# Letters that Python's tables do not know yet; the library's may fold them.
+_UNKNOWN = frozenset(c for c in map(chr, range(0xA0, 0x20000)) if unicodedata.category(c) == "Cn")
 _PLAIN = "\x01"  # begins the key of a piece that no space precedes
 
 
@@ -65,6 +67,8 @@ class PieceEncoder:
         form = json.loads(self.tokenizer.to_str())
         # Folding once per text, before the memory, lets pieces meet that differ in case only.
         self.folds = form["normalizer"] == _FOLDING
+        self.whole = self.tokenizer
+        self.whole.encode_special_tokens = True
         if self.folds:
             self.tokenizer = Tokenizer.from_str(json.dumps(form | {"normalizer": None}))
         self.tokenizer.encode_special_tokens = True
@@ -108,6 +112,9 @@ class PieceEncoder:
 
     def _encode(self, keys: list[str]) -> None:
         known = self.known
+        if self.folds and (odd := [k for k in keys if not _UNKNOWN.isdisjoint(k)]):
+            known.update((k, np.array(self.whole.encode(k, add_special_tokens=False).ids, "<u4").tobytes()) for k in odd)
+            keys = list(set(keys).difference(odd))
         if not self.keeps_space:
             # A rare mark of one token stands between pieces.
             mark = self.tokenizer.encode("★", add_special_tokens=False).ids

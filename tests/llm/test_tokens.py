@@ -11,7 +11,7 @@ from edupulse.llm.tokens import BYTE_BPE, WORD_BPE, PieceEncoder
 from rows import messy_rows
 
 ODD = ["a", "the", " ", "  ", "\n", "\n\n", ".", ",", "!", "'s", "'", "é", "é", "́", "★", "\t", " \n", "\r\n", "\xa0", "\x85", "7", "42", "Ġ", "\x1c", "<|endoftext|>",
-       "日本", "\x00", "\x01", "İ", "ß", "ﬁ", "Σ", "ΑΣ", "Ⅷ", "𝔘"]
+       "日本", "\x00", "\x01", "İ", "ß", "ﬁ", "Σ", "ΑΣ", "Ⅷ", "𝔘", "\ua7cb", "\ua7da", "\U00010d52", "\U00016ea2"]
 
 
 @pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
