@@ -153,9 +153,11 @@ def near_dedup(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that stay: of every component the one with the least doc_id (then
     least text hash), once."""
     rows = near_duplicates(documents)
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("_first"))
-    stay = first.select(F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash")).distinct()
-    keyed = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_hash", F.xxhash64("text"))
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    stay = first.select(F.struct(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")).alias("key")).distinct()
+    # The row travels as one column, so no name of the table can clash.
+    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in documents.columns]).alias("row")
+    keyed = documents.select(row, F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("hash")).alias("key"))
     # Equal rows are neighbours after the join, whose order the window shares.
-    turn = Window.partitionBy("_id", "_hash").orderBy("_id", "_hash")
-    return keyed.join(stay, ["_id", "_hash"]).withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").select(*documents.columns)
+    turn = Window.partitionBy("key").orderBy("key")
+    return keyed.join(stay, "key").withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")
