@@ -26,8 +26,8 @@ class MasteryProcessor(StatefulProcessor):
     """Applies a chain's attempts in (time, id) order.
 
     A row waits until the chain has seen a row ``delay_us`` later, or, with ``idle_ms`` set, until
-    the chain has been quiet that long. A row older than the last one applied is reported as
-    ``late``, never dropped or applied.
+    the chain has been quiet that long. The last applied row, delivered again, is dropped; an older
+    row is reported as ``late``, never dropped or applied.
     """
 
     def __init__(self, matrices: dict[bool, tuple[float, ...]], initial: float, delay_us: int,
@@ -48,6 +48,8 @@ class MasteryProcessor(StatefulProcessor):
         horizon = seen if all_ready else seen - self.delay_us
         out, keep, before = [], [], n
         for us, event_id, correct in sorted(rows):
+            if (us, event_id) == (last_us, last_id):
+                continue  # delivered again
             if (us, event_id) < (last_us, last_id):
                 out.append(("late", None, None, us, event_id, correct))
             elif us <= horizon:
