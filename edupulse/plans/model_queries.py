@@ -16,6 +16,7 @@ from edupulse.plans.queries import _course_tables, publish, query
 from edupulse.session import ensure_checkpoint_dir, materialize
 from edupulse.streaming.environment_stream import environment_stream
 from edupulse.streaming.mastery_stream import mastery_stream
+from edupulse.streaming.ordered_mastery import OrderedMastery
 from edupulse.streaming.sinks import advance_sink, read_upserted, upsert_sink
 
 # A short grid: the full one is 600 boosting rounds and a refit.
@@ -182,6 +183,39 @@ def stream_advance(spark, d):
     return publish(states.select("student_id", "topic_id", "mastery", "observation_count", "updated_at"))
 
 
+def _ordered(spark: SparkSession, d: str) -> OrderedMastery:
+    """The attempts in four arrivals by time. Every eleventh comes one arrival late, every thirteenth comes
+    again with the next; the watermark is half an arrival behind. Each arrival is a run of the same query, resumed
+    from its checkpoint, so the micro-batches are four."""
+    work, rows = _work_dir(spark), v.attempts(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    us = F.unix_micros("ts")
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    keyed = OrderedMastery(spark, f"{work}/state", rows.schema, rule=mastery.BktRule(), delay_seconds=((high or 0) - (low or 0)) // 8 / 1e6,
+                           remember_seconds=((high or 0) - (low or 0)) / 1e6, compact_every=3)
+    if low is None:
+        return keyed
+    home = F.floor((us - low) * 4 / (high - low + 1)) + F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)
+    home = F.least(home, F.lit(3))
+    # One write, partitioned by arrival: a row's first delivery, and its second.
+    again = F.when(F.col("event_id") % 13 == 0, F.array(home, F.least(home + 1, F.lit(3)))).otherwise(F.array(home))
+    rows.withColumn("arrival", F.explode(again)).write.partitionBy("arrival").parquet(f"{work}/all")
+    for arrival in range(4):
+        spark.read.schema(rows.schema).parquet(f"{work}/all/arrival={arrival}").write.mode("append").parquet(f"{work}/in")
+        keyed.start(spark.readStream.schema(rows.schema).parquet(f"{work}/in"), checkpoint=f"{work}/progress").awaitTermination()
+    keyed.finish()
+    return keyed
+
+
+@query
+def stream_ordered(spark, d):
+    return publish(_ordered(spark, d).states())
+
+
+@query
+def stream_late(spark, d):
+    return publish(_ordered(spark, d).late())
+
+
 @query
 def stream_environment(spark, d):
     work = _work_dir(spark)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from edupulse.operators import decision as t
-from edupulse.plans.oracle_views import with_views
+from edupulse.plans.oracle_views import VIEW_SQL, with_views
 
 TS = "'%Y-%m-%d %H:%M:%S.%f'"
 
@@ -340,4 +340,26 @@ BODIES["twin_identity"] = """
 BODIES["stream_mastery"] = BODIES["stream_advance"] = BODIES["bkt_mastery"]
 BODIES["stream_environment"] = BODIES["class_environment"]
 
+# Arrivals of the ordered stream: a row is late if a later one of its chain was applied before it came.
+_ARRIVALS = f"""arriving AS ({VIEW_SQL["attempts"]}),
+    times AS (SELECT *, epoch_us(ts::TIMESTAMP) AS us, min(epoch_us(ts::TIMESTAMP)) OVER () AS low, max(epoch_us(ts::TIMESTAMP)) OVER () AS high FROM arriving),
+    homes AS (SELECT *, least(3, (us - low) * 4 // (high - low + 1) + (event_id % 11 = 0)::INT) AS arrival FROM times),
+    marks AS (SELECT a AS arrival, max(us) FILTER (homes.arrival <= a) - (max(high) - max(low)) // 8 AS mark FROM homes, range(4) r(a) GROUP BY a),
+    judged AS (
+      SELECT h.*, EXISTS (SELECT 1 FROM homes p JOIN marks m ON m.arrival = h.arrival - 1
+        WHERE p.student_id = h.student_id AND p.topic_id = h.topic_id AND p.arrival < h.arrival AND p.us <= m.mark
+          AND (p.us > h.us OR p.us = h.us AND p.event_id > h.event_id)) AS late
+      FROM homes h)"""
+BODIES["stream_late"] = f"""SELECT student_id, topic_id, strftime(ts, {TS}) AS ts, event_id, correct FROM attempts"""
+
 ORACLES: dict[str, str] = {name: with_views(body) for name, body in BODIES.items()}
+
+
+def _arriving(body: str, rows: str) -> str:
+    """``body`` with the attempts narrowed to those on time, or late."""
+    narrowed = f"{_ARRIVALS},\nattempts AS (SELECT student_id, topic_id, ts, event_id, correct FROM judged WHERE {rows})"
+    return body.replace(f"attempts AS ({VIEW_SQL['attempts']})", narrowed)
+
+
+ORACLES["stream_ordered"] = _arriving(ORACLES["bkt_mastery"], "NOT late")
+ORACLES["stream_late"] = _arriving(ORACLES["stream_late"], "late")
