@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import functools
+import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edupulse.operators.metrics import LOG_CLIP
-from edupulse.session import ship_package
 
 
 def _loss(label, prob):
@@ -19,22 +17,26 @@ def _loss(label, prob):
     return -F.when(label, F.log(p)).otherwise(F.log(1.0 - p))
 
 
-def _replicate_sums(n: int, seed: int):
-    """Poisson(1) weights per student and replicate, drawn from a hash of the student.
+# A weight is the number of bounds that a hash of (student, replicate) reaches: the cumulative Poisson(1)
+# probabilities, in parts of the hash's range. Squares modulo a prime mix the two, in numbers below 2**62.
+PRIME = 2**31 - 1
+MULTIPLIERS = (48_271, 1_103_515_245)
+ROUNDS = (12_345, 1_013_904_223, 715_827_883)
+BOUNDS = [math.floor(PRIME * sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+
+
+def draw(student: Column, replicate: Column, seed: int) -> Column:
+    """Hash of a student (a whole number) and a replicate; the same wherever it is computed."""
+    by_student, by_replicate = MULTIPLIERS
+    x = (F.pmod(student, F.lit(PRIME)) * by_student + replicate * by_replicate + seed % PRIME) % PRIME
+    for add in ROUNDS:
+        x = (x * x + add) % PRIME
+    return x
 
-    A student's weights do not depend on which task sees the student, so retries agree.
-    """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        diff, rows = np.zeros(n), np.zeros(n)
-        for frame in frames:
-            for student, d, count in zip(frame["student_id"], frame["diff"], frame["n"], strict=True):
-                digest = hashlib.sha256(f"{seed}:{student}".encode()).digest()
-                weights = np.random.Generator(np.random.Philox(int.from_bytes(digest[:8], "big"))).poisson(1.0, n)
-                diff += weights * d
-                rows += weights * count
-        yield pd.DataFrame({"replicate": np.arange(n), "diff": diff, "n": rows})
 
-    return run
+def poisson_weight(drawn: Column) -> Column:
+    """Poisson(1) weight of a drawn hash."""
+    return functools.reduce(lambda a, b: a + b, [(drawn >= bound).cast("int") for bound in BOUNDS])
 
 
 def bootstrap_diff(
@@ -48,12 +50,17 @@ def bootstrap_diff(
     """
     if df.where(F.col(reference).isNull() | F.col(challenger).isNull()).limit(1).count():
         raise ValueError("every row needs both predictions")
-    ship_package()
     diff = _loss(F.col(label).cast("boolean"), F.col(challenger)) - _loss(F.col(label).cast("boolean"), F.col(reference))
     students = df.groupBy(F.col(student).alias("student_id")).agg(F.sum(diff).alias("diff"), F.count(F.lit(1)).alias("n"))
+    whole = isinstance(df.schema[student].dataType, T.IntegralType)
+    number = F.coalesce(F.col("student_id").cast("long") if whole else F.crc32(F.col("student_id").cast("string")), F.lit(-1))
+    drawn = draw(F.col("number"), F.col("replicate"), seed)
+    # A student meets the replicates one after the other; the sums combine before the shuffle.
     replicates = (
-        students.mapInPandas(_replicate_sums(n, seed), "replicate int, diff double, n double")
-        .groupBy("replicate").agg(F.sum("diff").alias("diff"), F.sum("n").alias("n"))
+        students.select("diff", "n", number.alias("number"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("replicate"))
+        .select("replicate", "diff", "n", drawn.alias("drawn"))
+        .select("replicate", "diff", "n", poisson_weight(F.col("drawn")).alias("weight"))
+        .groupBy("replicate").agg(F.sum(F.col("weight") * F.col("diff")).alias("diff"), F.sum(F.col("weight") * F.col("n")).alias("n"))
         .select(F.try_divide("diff", "n").alias("d"))
     )
     # n values, sorted; the point estimate is a one-row aggregate.

@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edupulse.operators.mastery import ATTEMPT_ORDER, CHAIN_KEYS, INITIAL_BKT, BktRule, bkt_trajectory
-from edupulse.operators.metrics import evaluate_predictions
+from edupulse.operators.mastery import ATTEMPT_ORDER, CHAIN_KEYS, INITIAL_BKT, BktRule, mastery_before
+from edupulse.operators.metrics import LOG_CLIP
 from edupulse.operators.skew import SEGMENT, join_segment_values, split_hot
 from edupulse.session import max_rows_per_group, ship_package
 
@@ -269,17 +269,57 @@ class Selection:
     val_log_loss: dict[int, float]
 
 
+class _ParameterColumns(BktRule):
+    """A rule whose parameters are columns of the row it is applied to."""
+
+    def __post_init__(self) -> None:
+        pass
+
+
+def candidate_losses(attempts: DataFrame, rules: Sequence[BktRule], *, max_rows: float | None = None) -> DataFrame:
+    """(candidate, log_loss, n): the log loss of every rule's predictions, ``candidate`` being its place in ``rules``.
+
+    One shuffle for all of them: chains are reduced to their outcomes, equal ones are counted, and each is folded once a
+    rule with the state and its loss so far. Over-long chains are traced by segment, with the rule as part of the key.
+    """
+    names = ("prior", "transit", "slip", "guess")
+    each = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("candidate"), *[F.lit(float(getattr(r, n))).alias(n) for n in names]) for i, r in enumerate(rules)])).alias("_p")
+    rule = _ParameterColumns(*[F.col(n) for n in names])
+
+    def loss(mastery: Column, correct: Column) -> Column:
+        p = F.least(F.lit(1.0 - LOG_CLIP), F.greatest(F.lit(LOG_CLIP), F.round(rule.predict(mastery), 12)))
+        return -F.log(F.when(correct, p).otherwise(1.0 - p))
+
+    rows = attempts.select(*CHAIN_KEYS, *ATTEMPT_ORDER, F.col("correct").cast("boolean").alias("correct"))
+    ordinary, hot = split_hot(rows, CHAIN_KEYS, ATTEMPT_ORDER, max_rows)
+    in_order = F.sort_array(F.collect_list(F.struct(*ATTEMPT_ORDER, F.col("correct").alias("_ok"))))
+    chains = ordinary.groupBy(*CHAIN_KEYS).agg(F.transform(in_order, lambda x: x["_ok"]).alias("_chain"))
+    chains = chains.groupBy("_chain").agg(F.count(F.lit(1)).alias("_weight"))
+    folded = F.aggregate(
+        "_chain", F.struct(F.col("prior").alias("m"), F.lit(0.0).alias("loss")),
+        lambda acc, ok: F.struct(rule.step(acc["m"], ok).alias("m"), (acc["loss"] + loss(acc["m"], ok)).alias("loss")))
+    losses = chains.select("_chain", "_weight", each).select("_chain", "_weight", "_p.*").select(
+        "candidate", (folded["loss"] * F.col("_weight")).alias("loss"), (F.size("_chain") * F.col("_weight")).alias("n"))
+    if hot is not None:
+        tagged = hot.drop(SEGMENT).select("*", each).select(*rows.columns, "_p.*")
+        traced = mastery_before(tagged, rule, keys=(*CHAIN_KEYS, "candidate", *names), max_rows=max_rows)
+        losses = losses.unionByName(traced.select("candidate", loss(F.col("mastery_before"), F.col("correct")).alias("loss"), F.lit(1).cast("long").alias("n")))
+    return losses.groupBy("candidate").agg((F.sum("loss") / F.sum("n")).alias("log_loss"), F.sum("n").alias("n"))
+
+
 def select_bkt(
     train_fit: DataFrame, val: DataFrame, *, candidates: Sequence[int] = ITERATION_CANDIDATES
 ) -> Selection:
     """K5: the iteration count of lowest validation log loss, refitted on train-fit and val.
 
-    Every candidate starts from the same point, so one run passes through all of them.
+    Every candidate starts from the same point, so one run passes through all of them, and one
+    pass over the validation rows evaluates all.
     """
     path = fit_path(train_fit, n_iter=max(candidates))
-    losses = {}
-    for n in candidates:
-        rows = bkt_trajectory(val, params=path[n - 1])
-        losses[n] = evaluate_predictions(rows, label="correct", prob="predicted").first()["log_loss"]
+    found = {r["candidate"]: r["log_loss"] for r in candidate_losses(val, [path[n - 1] for n in candidates]).collect()}
+    if not found:
+        raise ValueError("selection needs at least one validation attempt")
+    losses = {n: found[i] for i, n in enumerate(candidates)}
     best = min(candidates, key=losses.__getitem__)
     return Selection(fit_bkt(train_fit.unionByName(val), n_iter=best), best, losses)

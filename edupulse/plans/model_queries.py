@@ -12,6 +12,7 @@ from edupulse.models.bootstrap import bootstrap_diff
 from edupulse.operators import aggregates, clean, mastery, metrics, snapshots, splits, windows
 from edupulse.plans import driver_tables as v
 from edupulse.plans.experiment import TracingExperiment
+from edupulse.plans.parameters import CANDIDATE_BKT
 from edupulse.plans.queries import _course_tables, publish, query
 from edupulse.session import ensure_checkpoint_dir, materialize
 from edupulse.streaming.environment_stream import environment_stream
@@ -33,6 +34,20 @@ def bkt_em_fit(spark, d):
     return _parameters(spark, {"fitted": calibrate.fit_bkt(v.attempts(spark, d), n_iter=20)})
 
 
+@query
+def bkt_em_step(spark, d):
+    """One step from the starting point and one from the fitted defaults."""
+    starts = {"from_initial": mastery.BktRule(*mastery.INITIAL_BKT), "from_default": mastery.BktRule()}
+    return _parameters(spark, {name: calibrate.fit_bkt(v.attempts(spark, d), n_iter=1, initial=rule) for name, rule in starts.items()})
+
+
+@query
+def bkt_candidate_losses(spark, d):
+    """Validation losses of fixed parameter sets, in one pass."""
+    val = TracingExperiment(v.attempts(spark, d)).part("val")
+    return publish(calibrate.candidate_losses(val, [mastery.BktRule(*p) for p in CANDIDATE_BKT]))
+
+
 @query
 def bkt_selection(spark, d):
     chosen = TracingExperiment(v.attempts(spark, d)).tracing

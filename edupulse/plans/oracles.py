@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from edupulse.models import bootstrap
 from edupulse.operators import decision as t
+from edupulse.operators.mastery import DEFAULT_BKT, INITIAL_BKT
 from edupulse.plans.oracle_views import VIEW_SQL, with_views
+from edupulse.plans.parameters import CANDIDATE_BKT
 
 TS = "'%Y-%m-%d %H:%M:%S.%f'"
 
@@ -340,6 +343,66 @@ BODIES["twin_identity"] = """
 BODIES["stream_mastery"] = BODIES["stream_advance"] = BODIES["bkt_mastery"]
 BODIES["stream_environment"] = BODIES["class_environment"]
 
+def _em_step(name: str, p: tuple[float, float, float, float]) -> str:
+    """Forward and backward passes over every chain, and the shares of their expected counts."""
+    prior, t, slip, guess = p
+    return f"""SELECT '{name}' AS step, round(avg(g1) FILTER (rn = 1), 6) AS prior, round(sum(moved) / sum(g0) FILTER (rn < n), 6) AS transit,
+      round(sum(g1) FILTER (NOT correct) / sum(g1), 6) AS slip, round(sum(g0) FILTER (correct) / sum(g0), 6) AS guess
+    FROM (
+      WITH RECURSIVE steps AS (
+        SELECT student_id AS s, topic_id AS k, rn, correct, count(*) OVER (PARTITION BY student_id, topic_id) AS n,
+          CASE WHEN correct THEN {guess} ELSE 1 - {guess} END::DOUBLE AS e0, CASE WHEN correct THEN 1 - {slip} ELSE {slip} END::DOUBLE AS e1 FROM numbered),
+      forward AS (
+        SELECT s, k, rn, (1 - {prior}) * e0 / ((1 - {prior}) * e0 + {prior} * e1) AS f0, {prior} * e1 / ((1 - {prior}) * e0 + {prior} * e1) AS f1 FROM steps WHERE rn = 1
+        UNION ALL
+        SELECT x.s, x.k, x.rn, p0 * e0 / (p0 * e0 + p1 * e1), p1 * e1 / (p0 * e0 + p1 * e1)
+        FROM (SELECT s, k, rn, f0 * (1 - {t}) AS p0, f1 + f0 * {t} AS p1 FROM forward) f JOIN steps x ON x.s = f.s AND x.k = f.k AND x.rn = f.rn + 1),
+      backward AS (
+        SELECT s, k, rn, e0, e1, 1::DOUBLE AS b0, 1::DOUBLE AS b1 FROM steps WHERE rn = n
+        UNION ALL
+        SELECT x.s, x.k, x.rn, x.e0, x.e1, u / greatest(u, w), w / greatest(u, w)
+        FROM (SELECT s, k, rn, (1 - {t}) * e0 * b0 + {t} * e1 * b1 AS u, e1 * b1 AS w FROM backward) b JOIN steps x ON x.s = b.s AND x.k = b.k AND x.rn = b.rn - 1)
+      SELECT f.rn, x.n, x.correct, f0 * b.b0 / (f0 * b.b0 + f1 * b.b1) AS g0, f1 * b.b1 / (f0 * b.b0 + f1 * b.b1) AS g1,
+        f0 * {t} * a.e1 * a.b1 / (f0 * ((1 - {t}) * a.e0 * a.b0 + {t} * a.e1 * a.b1) + f1 * a.e1 * a.b1) AS moved
+      FROM forward f JOIN steps x USING (s, k, rn) JOIN backward b USING (s, k, rn) LEFT JOIN backward a ON a.s = f.s AND a.k = f.k AND a.rn = f.rn + 1)"""
+
+
+BODIES["bkt_em_step"] = _em_step("from_initial", INITIAL_BKT) + " UNION ALL " + _em_step("from_default", DEFAULT_BKT)
+
+_CANDIDATES = ", ".join(f"({i}, {prior}::DOUBLE, {t}::DOUBLE, {slip}::DOUBLE, {guess}::DOUBLE)" for i, (prior, t, slip, guess) in enumerate(CANDIDATE_BKT))
+BODIES["bkt_candidate_losses"] = f"""SELECT candidate, round(-avg(ln(CASE WHEN correct THEN q ELSE 1 - q END)), 6) AS log_loss, count(*) AS n
+    FROM (
+      WITH RECURSIVE rules(candidate, prior, t, slip, guess) AS (VALUES {_CANDIDATES}),
+      steps AS (SELECT student_id AS s, topic_id AS k, rn, correct FROM numbered WHERE {_SPLIT} = 'val'),
+      traced AS (
+        SELECT candidate, t, slip, guess, s, k, rn, correct, prior AS m FROM steps, rules WHERE rn = 1
+        UNION ALL
+        SELECT candidate, t, slip, guess, x.s, x.k, x.rn, x.correct, p + (1 - p) * t
+        FROM (SELECT *, CASE WHEN correct THEN m * (1 - slip) / (m * (1 - slip) + (1 - m) * guess) ELSE m * slip / (m * slip + (1 - m) * (1 - guess)) END AS p FROM traced) y
+        JOIN steps x ON x.s = y.s AND x.k = y.k AND x.rn = y.rn + 1)
+      SELECT candidate, correct, least(1 - 1e-9, greatest(1e-9, round(m * (1 - slip) + (1 - m) * guess, 12))) AS q FROM traced)
+    GROUP BY candidate"""
+
+
+def _bootstrap(n: int = 2000, seed: int = 42) -> str:
+    """Weights by the same hash, sums by replicate, and the interval's two places."""
+    prior, _, slip, guess = INITIAL_BKT
+    by_student, by_replicate = bootstrap.MULTIPLIERS
+    x = f"(student_id % {bootstrap.PRIME} * {by_student} + r * {by_replicate} + {seed}) % {bootstrap.PRIME}"
+    rounds = "".join(f", lambda_{i} AS (SELECT * REPLACE ((x * x + {add}) % {bootstrap.PRIME} AS x) FROM {f'lambda_{i - 1}' if i else 'drawn'})" for i, add in enumerate(bootstrap.ROUNDS))
+    weight = " + ".join(f"(x >= {bound})::INT" for bound in bootstrap.BOUNDS)
+
+    def loss(p: str) -> str:
+        return f"-ln(CASE WHEN correct THEN least(1 - 1e-9, greatest(1e-9, {p})) ELSE 1 - least(1 - 1e-9, greatest(1e-9, {p})) END)"
+
+    return f"""SELECT round((SELECT sum(d) / sum(n) FROM students), 6) AS point, round(v[{int(n * 0.025) + 1}], 6) AS low, round(v[{min(n - 1, int(n * 0.975)) + 1}], 6) AS high
+    FROM (
+      WITH drawn AS (SELECT d, n, r, {x} AS x FROM students, range({n}) t(r)){rounds}
+      SELECT list(q ORDER BY q) AS v FROM (SELECT r, sum(w * d) / sum(w * n) AS q FROM (SELECT r, d, n, {weight} AS w FROM lambda_{len(bootstrap.ROUNDS) - 1}) GROUP BY r))""", (
+        f"students AS (SELECT student_id, sum({loss('round(prob, 12)')} - {loss(f'(mastery_before * (1 - {slip}) + (1 - mastery_before) * {guess})')}) AS d, count(*) AS n "
+        "FROM predictions GROUP BY student_id)")
+
+
 # Arrivals of the ordered stream: a row is late if a later one of its chain was applied before it came.
 _ARRIVALS = f"""arriving AS ({VIEW_SQL["attempts"]}),
     times AS (SELECT *, epoch_us(ts::TIMESTAMP) AS us, min(epoch_us(ts::TIMESTAMP)) OVER () AS low, max(epoch_us(ts::TIMESTAMP)) OVER () AS high FROM arriving),
@@ -361,5 +424,7 @@ def _arriving(body: str, rows: str) -> str:
     return body.replace(f"attempts AS ({VIEW_SQL['attempts']})", narrowed)
 
 
+_BODY, _STUDENTS = _bootstrap()
+ORACLES["bootstrap_ci"] = with_views("SELECT * FROM predictions").replace("\nSELECT * FROM predictions", f",\n{_STUDENTS}\n{_BODY}")
 ORACLES["stream_ordered"] = _arriving(ORACLES["bkt_mastery"], "NOT late")
 ORACLES["stream_late"] = _arriving(ORACLES["stream_late"], "late")

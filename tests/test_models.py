@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from edupulse.models import calibrate
 from edupulse.models import classifiers as c
 from edupulse.models import features as f
-from edupulse.models.bootstrap import bootstrap_diff
-from edupulse.operators.mastery import INITIAL_BKT, BktRule
-from edupulse.operators.metrics import classification_report
+from edupulse.models.bootstrap import bootstrap_diff, draw, poisson_weight
+from edupulse.operators.mastery import INITIAL_BKT, BktRule, bkt_trajectory
+from edupulse.operators.metrics import classification_report, evaluate_predictions
 
 
 def em_step(chains, rule):
@@ -74,13 +75,37 @@ def test_empty_fit_is_an_error(spark):
 
 
 def test_selection_takes_the_first_minimum(spark):
-    df = attempts_frame(spark, simulate(200, 0.3, 0.2, 0.1, 0.25))
+    df = attempts_frame(spark, sampled_chains(BktRule(*INITIAL_BKT), 200, seed=4))
     got = calibrate.select_bkt(df.where("student_id < 150"), df.where("student_id >= 150"), candidates=(1, 2, 4))
     assert got.n_iter == min(got.val_log_loss, key=got.val_log_loss.get)
     again = calibrate.fit_bkt(df, n_iter=got.n_iter)
     assert parameters(got.params) == pytest.approx(parameters(again))
 
 
+@pytest.mark.parametrize("max_rows", [None, 6])
+def test_losses_of_all_candidates(spark, max_rows):
+    df = attempts_frame(spark, random_chains(students=6, length=9, hot=30))
+    rules = [BktRule(), BktRule(*INITIAL_BKT), BktRule(0.2, 0.3, 0.05, 0.45)]
+    got = {r.candidate: (r.log_loss, r.n) for r in calibrate.candidate_losses(df, rules, max_rows=max_rows).collect()}
+    for i, rule in enumerate(rules):
+        rows = bkt_trajectory(df, params=rule)
+        want = evaluate_predictions(rows, label="correct", prob="predicted").first()
+        assert got[i][0] == pytest.approx(want["log_loss"], abs=1e-9) and got[i][1] == df.count()
+    assert calibrate.candidate_losses(df.where("false"), rules).count() == 0
+
+
+def test_bootstrap_weights_are_poisson(spark):
+    rows = spark.range(500).selectExpr("id AS s", "explode(sequence(0L, 199L)) AS r")
+    w = np.array(rows.select("s", "r", poisson_weight(draw(F.col("s"), F.col("r"), 42)).alias("w")).orderBy("s", "r").toPandas()["w"]).reshape(500, 200)
+    assert w.mean() == pytest.approx(1, abs=0.02) and w.var() == pytest.approx(1, abs=0.04)
+    assert [(w == k).mean() for k in range(4)] == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(4)], abs=0.01)
+    # Neither neighbouring students nor neighbouring replicates go together.
+    off = np.abs(np.corrcoef(w) - np.eye(500))
+    assert off.mean() < 0.08 and off.max() < 0.45
+    off = np.abs(np.corrcoef(w.T) - np.eye(200))
+    assert off.mean() < 0.05 and off.max() < 0.3
+
+
 def test_bootstrap(spark):
     rng = random.Random(0)
     rows = [(s, rng.random() < 0.6, 0.5, 0.6) for s in range(40) for _ in range(5)]
