@@ -81,20 +81,27 @@ def check_foreign_key_rows(child: DataFrame, parent: DataFrame, keys: Sequence[s
     )
 
 
-def check_allowed(df: DataFrame, column: str, allowed: Iterable[Any], *, table: str) -> DataFrame:
-    """V6: rows whose value is outside a finite domain; NULL is outside."""
-    outside = F.col(column).isNull() | ~F.col(column).isin(*allowed)
-    return _row(df, "allowed", table, F.sum(outside.cast("long")), F.count(F.lit(1)))
+def outside_domain(column: str, allowed: Iterable[Any]) -> Column:
+    return F.col(column).isNull() | ~F.col(column).isin(*allowed)
 
 
-def check_range(df: DataFrame, column: str, low: float | None, high: float | None, *, table: str) -> DataFrame:
-    """V7: rows outside [low, high]; NULL is skipped, a bound of None is open."""
+def outside_range(column: str, low: float | None, high: float | None) -> Column:
     outside = F.lit(False)
     if low is not None:
         outside = outside | (F.col(column) < low)
     if high is not None:
         outside = outside | (F.col(column) > high)
-    return _row(df, "range", table, F.sum(F.coalesce(outside, F.lit(False)).cast("long")), F.count(F.lit(1)))
+    return F.coalesce(outside, F.lit(False))
+
+
+def check_allowed(df: DataFrame, column: str, allowed: Iterable[Any], *, table: str) -> DataFrame:
+    """V6: rows whose value is outside a finite domain; NULL is outside."""
+    return _row(df, "allowed", table, F.sum(outside_domain(column, allowed).cast("long")), F.count(F.lit(1)))
+
+
+def check_range(df: DataFrame, column: str, low: float | None, high: float | None, *, table: str) -> DataFrame:
+    """V7: rows outside [low, high]; NULL is skipped, a bound of None is open."""
+    return _row(df, "range", table, F.sum(outside_range(column, low, high).cast("long")), F.count(F.lit(1)))
 
 
 def check_nulls(df: DataFrame, *, table: str) -> DataFrame:

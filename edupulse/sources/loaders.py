@@ -1,15 +1,16 @@
 """Load pipelines (S14): raw files to checked parquet tables, parents before children.
 
-Each stage is read, cleaned, written once, and read back for the checks of later stages. Fatal
-checks raise before any table of the data set is published: stages go to a staging folder that
-is renamed at the end.
+Each stage is read, cleaned, written once, and read back for the checks of later stages. What can be
+counted row by row (rows, domains, ranges, the end of a numbered key) is observed by the write itself. Fatal
+checks raise before any table of the data set is published: stages go to a staging folder, and are moved to
+their places, one after the other, when all checks are done.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from edupulse import schemas
@@ -17,7 +18,7 @@ from edupulse.operators import quality as q
 from edupulse.operators.aggregates import click_rollup, merge_enrollments
 from edupulse.operators.clean import distinct_dimension, drop_full_duplicates, drop_null_keys, normalize_band
 from edupulse.operators.ordinal import with_surrogate_key
-from edupulse.sources.files import cast_to, clean_counts, parse_date, read_csv, read_quoted_csv, read_tagged
+from edupulse.sources.files import cast_to, clean_counts, csv_header, parse_date, read_csv, read_quoted_csv, read_tagged
 
 # Sensors seen before, source file names, allowed values and plausible ranges.
 KNOWN_SENSORS = ["CO2_01", "CO2_02", "CO2_03", "CO2_04", "CO2_05", "CO2_06"]
@@ -43,25 +44,50 @@ COURSE = ["code_module", "code_presentation"]
 
 
 class _Load:
-    """Stages of one data set: written under a staging folder, published by one rename."""
+    """Stages of one data set: written under a staging folder, published after all checks."""
 
     def __init__(self, spark: SparkSession, out_dir: str, name: str) -> None:
         self.spark, self.out = spark, out_dir.rstrip("/")
         self.staging = f"{self.out}/_staging_{name}"
         self.tables: dict[str, DataFrame] = {}
+        self.written: dict[str, int] = {}
         self.warnings: list[dict] = []
 
-    def write(self, table: str, df: DataFrame) -> DataFrame:
-        """Writes a stage with its columns in stored order and checks its key."""
-        path = f"{self.staging}/{table}"
-        df.select(*schemas.columns(table)).write.mode("overwrite").parquet(path)
+    def write(self, table: str, df: DataFrame, *, source: DataFrame | None = None, numbered: bool = False,
+              allowed: Mapping[str, Sequence] | None = None) -> DataFrame:
+        """Writes a stage with its columns in stored order and checks it.
+
+        ``source``: rows that must all have arrived. ``numbered``: the key counts from 1, so its
+        largest value tells whether it is whole. ``allowed``: values of columns.
+        """
+        path, ranges, domains = f"{self.staging}/{table}", RANGES.get(table, {}), allowed or {}
+        bad = {f"range {c}": q.outside_range(c, low, high) for c, (low, high) in ranges.items()}
+        bad |= {f"allowed {c}": q.outside_domain(c, values) for c, values in domains.items()}
+        key = schemas.KEYS[table]
+        seen = Observation(f"load of {table}")
+        df.select(*schemas.columns(table)).observe(
+            seen, F.count(F.lit(1)).alias("rows"), F.max(key[0]).alias("last"), *[F.count_if(c).alias(n) for n, c in bad.items()]
+        ).write.mode("overwrite").parquet(path)
+        found = seen.get
+        rows = found["rows"]
+        self.written[table] = rows
         stored = self.spark.read.parquet(path)
         self.tables[table] = stored
-        self.require(q.check_unique(stored, schemas.KEYS[table], table=table))
-        for column, (low, high) in RANGES.get(table, {}).items():
-            self.warn(q.check_range(stored, column, low, high, table=table), column=column)
+        for column in domains:
+            self._fail("allowed", table, found[f"allowed {column}"], rows)
+        if source is not None:
+            self._fail("row_count", table, abs(source.count() - rows), rows)
+        if numbered:
+            self._fail("unique", table, abs((found["last"] or 0) - rows), rows)
+        else:
+            self.require(q.check_unique(stored, key, table=table))
+        self.warnings += [{"check": "range", "table": table, "n_bad": n, "n_rows": rows, "column": c} for c in ranges if (n := found[f"range {c}"])]
         return stored
 
+    def _fail(self, check: str, table: str, n_bad: int, n_rows: int) -> None:
+        if n_bad:
+            raise q.QualityError(f"{table}: {check} failed for {n_bad} of {n_rows}")
+
     def keep(self, table: str, df: DataFrame) -> DataFrame:
         """Writes a table that describes the load, beside the loaded ones."""
         path = f"{self.staging}/{table}"
@@ -124,6 +150,8 @@ def load_oulad(spark: SparkSession, raw_dir: str, out_dir: str) -> list[dict]:
         bridge_key="id_assessment", parent_keys=schemas.KEYS["enrollments"], table="assessment_submissions"))
 
     load.write("vle_interactions", click_rollup(_plain(spark, f"{raw_dir}/studentVle.csv", "vle_interactions")))
+    if not load.written["vle_interactions"]:
+        raise q.QualityError("vle_interactions: no rows")
     load.references("vle_interactions", "vle_sites", ["id_site"])
     load.references("vle_interactions", "enrollments", schemas.KEYS["enrollments"])
     return load.publish()
@@ -138,7 +166,8 @@ def load_assistments(spark: SparkSession, raw_dir: str, out_dir: str) -> list[di
     load.warn(q.check_nulls(problems.select("problem_id"), table="assist_problems"), column="problem_id")
     load.write("assist_problems", drop_null_keys(problems, ["problem_id"]))
     for table, file in (("assist_student_classes", "sdets.csv"), ("assist_assignments", "adets.csv")):
-        load.write(table, _plain(spark, f"{raw_dir}/{file}", table))
+        rows = _plain(spark, f"{raw_dir}/{file}", table)
+        load.write(table, rows, source=rows)
         load.references(table, "assist_classes", ["class_id"])
     load.write("assist_assignment_logs", _plain(spark, f"{raw_dir}/alogs.csv", "assist_assignment_logs"))
     load.references("assist_assignment_logs", "assist_assignments", ["assignment_id"])
@@ -147,7 +176,7 @@ def load_assistments(spark: SparkSession, raw_dir: str, out_dir: str) -> list[di
     names = [c for c in schemas.columns("assist_problem_logs") if c != "id"]
     logs = read_csv(spark, f"{raw_dir}/plogs.csv", schemas.TABLES["assist_problem_logs"], names)
     load.write("assist_problem_logs", with_surrogate_key(logs, ["start_time", "log_id", "problem_id", *[
-        c for c in names if c not in ("start_time", "log_id", "problem_id")]], "id"))
+        c for c in names if c not in ("start_time", "log_id", "problem_id")]], "id"), source=logs, numbered=True)
     load.references("assist_problem_logs", "assist_assignment_logs", ["log_id"])
     load.warn(q.check_foreign_key_rows(
         load.tables["assist_problem_logs"], load.tables["assist_problems"], ["problem_id"], table="assist_problem_logs"))
@@ -163,7 +192,7 @@ def load_xapi(spark: SparkSession, raw_dir: str, out_dir: str) -> list[dict]:
     load.require(q.check_nulls(records, table="xapi_student_records"))
     load.write("xapi_class_sections", distinct_dimension(records, schemas.KEYS["xapi_class_sections"]))
     load.warn(q.check_duplicates(records, table="xapi_student_records"))
-    load.write("xapi_student_records", with_surrogate_key(records, names, "record_id"))
+    load.write("xapi_student_records", with_surrogate_key(records, names, "record_id"), source=records, numbered=True)
     load.references("xapi_student_records", "xapi_class_sections", schemas.KEYS["xapi_class_sections"])
     return load.publish()
 
@@ -173,13 +202,12 @@ def load_dropout(spark: SparkSession, raw_dir: str, out_dir: str) -> list[dict]:
     load = _Load(spark, out_dir, "dropout")
     schema = schemas.TABLES["dropout_records"]
     names = [c for c in schema.fieldNames() if c != "id"]
+    header = spark.createDataFrame([], ", ".join(f"`{schemas.stored_name(h)}` string" for h in csv_header(spark, f"{raw_dir}/data.csv", sep=";")))
+    q.check_columns(header, names, table="dropout_records")
     records = read_csv(spark, f"{raw_dir}/data.csv", schema, names, sep=";")
     load.require(q.check_nulls(records, table="dropout_records"))
-    stored = load.write("dropout_records", with_surrogate_key(records, names, "id"))
-    load.require(
-        q.check_row_count(records, stored, table="dropout_records"),
-        q.check_allowed(stored, "target", TARGETS, table="dropout_records"),
-        *[q.check_allowed(stored, c, [0, 1], table="dropout_records") for c in BINARY_COLUMNS])
+    load.write("dropout_records", with_surrogate_key(records, names, "id"), source=records, numbered=True,
+               allowed={"target": TARGETS, **{c: [0, 1] for c in BINARY_COLUMNS}})
     return load.publish()
 
 
@@ -205,9 +233,7 @@ def load_occupancy(spark: SparkSession, raw_dir: str, out_dir: str) -> list[dict
     # Duplicates are rows equal but for the row id, within one file.
     load.require(q.check_nulls(rows, table="occupancy_readings"),
                  q.check_duplicates(rows.drop("source_row_id"), table="occupancy_readings"))
-    stored = load.write("occupancy_readings", rows)
-    load.require(q.check_allowed(stored, "occupancy", [0, 1], table="occupancy_readings"),
-                 q.check_allowed(stored, "source_file", list(OCCUPANCY_FILES), table="occupancy_readings"))
+    load.write("occupancy_readings", rows, source=rows, allowed={"occupancy": [0, 1], "source_file": list(OCCUPANCY_FILES)})
     return load.publish()
 
 
@@ -220,8 +246,7 @@ def load_nyc_attendance(spark: SparkSession, raw_dir: str, out_dir: str) -> list
     raw = read_csv(spark, f"{raw_dir}/NYC_attendance.csv", text, rename=_attendance_name)
     load.require(q.check_nulls(raw, table="nyc_daily_attendance"))
     rows = parse_date(clean_counts(raw, counts), "attendance_date")
-    stored = load.write("nyc_daily_attendance", with_surrogate_key(rows, names, "id"))
-    load.require(q.check_row_count(raw, stored, table="nyc_daily_attendance"))
+    stored = load.write("nyc_daily_attendance", with_surrogate_key(rows, names, "id"), source=raw, numbered=True)
     load.warn(q.check_identity(stored, "enrolled", counts[1:], table="nyc_daily_attendance"))
     load.warn(q.check_unique(stored, ["school_id", "attendance_date"], table="nyc_daily_attendance"))
     return load.publish()

@@ -114,6 +114,7 @@ def test_load_oulad(spark, tmp_path):
     ("vle.csv", "id_site,code_module,code_presentation,activity_type\n5,ZZZ,2013J,quiz\n", "vle_sites: foreign_key"),
     ("studentRegistration.csv", REGISTRATION + "AAA,2013J,3,1,\n", "enrollments: one_to_one"),
     ("studentAssessment.csv", "id_assessment,id_student,date_submitted,is_banked,score\n9,77,18,0,78\n", "two_hop"),
+    ("studentVle.csv", "code_module,code_presentation,id_student,id_site,date,sum_click\n", "vle_interactions: no rows"),
     ("studentVle.csv", "code_module,code_presentation,id_student,id_site,date,sum_click\nAAA,2013J,1,6,0,2\n", "vle_interactions: foreign_key")])
 def test_broken_loads_publish_nothing(spark, tmp_path, name, text, message):
     raw, out = oulad(tmp_path / "raw", **{name: text}), tmp_path / "out"
@@ -180,8 +181,12 @@ def test_load_dropout(spark, tmp_path):
     row = spark.read.parquet(str(tmp_path / "out" / "dropout_records")).first()
     assert (row.id, row.gdp, row.target, row.daytime_evening_attendance) == (1, -1.7, "Graduate", 1)
     put(tmp_path / "bad", "data.csv", ";".join(DROPOUT_HEADER) + "\n" + line.replace("Graduate", "Gone") + "\n")
-    with pytest.raises(QualityError, match="allowed"):
+    with pytest.raises(QualityError, match="dropout_records: allowed failed for 1 of 1"):
         loaders.load_dropout(spark, str(tmp_path / "bad"), str(tmp_path / "out2"))
+    put(tmp_path / "more", "data.csv", ";".join([*DROPOUT_HEADER, "Shoe size"]) + "\n" + line + ";44\n")
+    with pytest.raises(QualityError, match="unexpected .'shoe_size'"):
+        loaders.load_dropout(spark, str(tmp_path / "more"), str(tmp_path / "out3"))
+    assert not (tmp_path / "out3").exists()
 
 
 def test_load_sensors(spark, tmp_path):
