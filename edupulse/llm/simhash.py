@@ -154,10 +154,10 @@ def near_dedup(documents: DataFrame) -> DataFrame:
     least text hash), once."""
     rows = near_duplicates(documents)
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    stay = first.select(F.struct(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")).alias("key")).distinct()
+    stay = first.select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")).distinct()
     # The row travels as one column, so no name of the table can clash.
     row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in documents.columns]).alias("row")
-    keyed = documents.select(row, F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("hash")).alias("key"))
+    keyed = documents.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("hash"))
     # Equal rows are neighbours after the join, whose order the window shares.
-    turn = Window.partitionBy("key").orderBy("key")
-    return keyed.join(stay, "key").withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")
+    turn = Window.partitionBy("id", "hash").orderBy("id", "hash")
+    return keyed.join(stay, ["id", "hash"]).withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")
