@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,11 +65,33 @@ _PART = re.compile(r"[a-z]+")
 _ENDS = (".", "!", "?", "…", "。", "：", ":", "»", "\"", "”")
 
 
+class Node:
+    """An open block element; ``parent`` is the one around it."""
+
+    __slots__ = ("name", "parent", "depth")
+
+    def __init__(self, name: str, parent: Node | None):
+        self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 1
+
+
 class Block:
-    __slots__ = ("text", "linked", "path", "told", "element")
+    __slots__ = ("text", "linked", "node", "told")
+
+    def __init__(self, text: str, linked: int, node: Node | None, told: int):
+        self.text, self.linked, self.node, self.told = text, linked, node, told
+
+    @property
+    def element(self) -> str:
+        return self.node.name if self.node else ""
+
+
+class _Open:
+    """An open element: what it tells, the innermost block element (itself, if one) and that one's place in the stack."""
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], told: int, element: str):
-        self.text, self.linked, self.path, self.told, self.element = text, linked, path, told, element
+    __slots__ = ("name", "told", "node", "block_at")
+
+    def __init__(self, name: str, told: int, node: Node | None, block_at: int):
+        self.name, self.told, self.node, self.block_at = name, told, node, block_at
 
 
 def _tells(name: str, rest: str, outer: int) -> int:
@@ -89,28 +111,32 @@ def _tells(name: str, rest: str, outer: int) -> int:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks with text, in order. Ancestors are numbered by their place in the page."""
+    """The page's blocks with text, in order. Every step costs the elements that it opens or closes, however deep the page."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # element, number, what it tells so far
+    stack: list[_Open] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked, number = 0, 0
+    linked = 0
 
     def close_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                told = stack[-1][2] if stack else 0
-                element = next((e for e, _, _ in reversed(stack) if e in BLOCKS), "")
-                out.append(Block(text, linked, tuple(n for e, n, _ in stack if e in BLOCKS), told, element))
+                out.append(Block(text, linked, stack[-1].node if stack else None, stack[-1].told if stack else 0))
             parts.clear()
         linked = 0
 
+    def close_from(at: int) -> None:
+        for element in stack[at:]:
+            opened[element.name] -= 1
+        del stack[at:]
+
     for token in _TOKEN.finditer(page):
         text = token["text"]
         if text is not None:
             parts.append(text)
-            if any(e == "a" for e, _, _ in stack[-4:]):
+            if opened["a"]:
                 linked += len(text)
             continue
         if token["name"] is None:
@@ -121,27 +147,24 @@ def blocks(page: str) -> list[Block]:
         elif name == "br":
             parts.append(" ")
         if token["end"]:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == name:
-                    del stack[at:]
-                    break
+            if opened[name]:
+                close_from(next(at for at in range(len(stack) - 1, -1, -1) if stack[at].name == name))
             continue
         if name in VOID:
             continue
         if name in BLOCKS:
             # A new block ends an open paragraph, and a new item or cell an open one of its kind.
-            for at in range(len(stack) - 1, max(len(stack) - 8, -1), -1):
-                if stack[at][0] == "p" or stack[at][0] == name and name in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                    del stack[at:]
-                    break
-                if stack[at][0] in BLOCKS:
-                    break
-        number += 1
-        outer = stack[-1][2] if stack else 0
+            inner = stack[-1].node if stack else None
+            if inner and (inner.name == "p" or inner.name == name and name in ("li", "dd", "dt", "td", "th", "tr", "option")):
+                close_from(stack[-1].block_at)
+        outer = stack[-1].told if stack else 0
         told = _tells(name, token["rest"], outer)
         if not token["rest"].endswith("/"):
             # Inside boilerplate all is boilerplate, but a dialog or menu may not hold an article.
-            stack.append((name, number, told or outer))
+            inner = stack[-1].node if stack else None
+            own = name in BLOCKS
+            stack.append(_Open(name, told or outer, Node(name, inner) if own else inner, len(stack) if own else stack[-1].block_at if stack else -1))
+            opened[name] += 1
     close_block()
     return out
 
@@ -190,17 +213,25 @@ def fit(pages: DataFrame, *, sample: int = SAMPLE) -> np.ndarray:
     return np.append(slope, constant)
 
 
+def _apart(a: Node | None, b: Node | None) -> int:
+    """Steps from one element to the other in the tree. From block to block of a page these are, in sum, the elements opened and closed."""
+    steps_ = 0
+    while a is not b:
+        if b is None or a is not None and a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps_ += 1
+    return steps_
+
+
 def _edges(page: list[Block]) -> list[tuple[int, int, float]]:
     """Neighbours in the text, and neighbours under one parent that others separate."""
     out, last = [], {}
     for i, block in enumerate(page):
         if i:
-            a, b = page[i - 1].path, block.path
-            shared = 0
-            while shared < min(len(a), len(b)) and a[shared] == b[shared]:
-                shared += 1
-            out.append((i - 1, i, EDGE / (1 + len(a) + len(b) - 2 * shared)))
-        parent = block.path[-2] if len(block.path) > 1 else 0
+            out.append((i - 1, i, EDGE / (1 + _apart(page[i - 1].node, block.node))))
+        parent = block.node.parent if block.node else None
         before = last.get(parent)
         if before is not None and before < i - 1:
             out.append((before, i, EDGE / 4))

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
 
-from edupulse.llm.extraction import blocks, extract, fit, main_text, minimum_cut
+from edupulse.llm.extraction import _edges, blocks, extract, fit, main_text, minimum_cut
 
 PAGE = """<!DOCTYPE html><html><head><title>Title</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Site</a></header><nav><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></nav><!-- ad --><div class="ad">Buy now. It is cheap, they say.</div>
@@ -52,7 +53,23 @@ def test_pages_without_telling_elements_go_by_the_classifier(pages):
 def test_blocks():
     found = blocks("<p>a<br>b <i>c</i></p>d<ul><li>e<li>f &eacute;</ul><script>no</script><textarea>no</textarea>")
     assert [b.text for b in found] == ["a b c", "d", "e", "f é"]
-    assert len(found[2].path) == len(found[3].path)  # siblings
+    assert found[2].node is not found[3].node and found[2].node.parent is found[3].node.parent  # siblings
+
+
+@pytest.mark.parametrize("unit", ["<div>a {}", "<b>a {}<p>", "<p>a {}</i></x>", "<a href=u><span>a {}<div></div>"])
+def test_deep_pages_take_time_in_proportion(unit):
+    n = 100_000
+    start = time.process_time()
+    found = blocks("".join(unit.format(i) for i in range(n)))
+    edges = _edges(found)
+    assert time.process_time() - start < 30
+    assert sum(len(b.text.split()) for b in found) == 2 * n and len(edges) >= len(found) - 1
+
+
+def test_links_and_open_paragraphs_however_deep():
+    found = blocks("<a href=u>" + "<span>" * 9 + "link text" + "</span>" * 9 + "</a> plain<p>" + "<i>" * 20 + "one<p>two")
+    assert [(b.text, b.linked) for b in found] == [("link text plain", 9), ("one", 0), ("two", 0)]
+    assert found[1].node.parent is None and found[2].node.parent is None
 
 
 @pytest.mark.parametrize("seed", range(40))
