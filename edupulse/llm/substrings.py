@@ -188,8 +188,8 @@ def described(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _open_windows(documents: DataFrame, rows: DataFrame, window: int) -> DataFrame:
-    """The single windows of the chunks in ``rows`` (doc_id, text_hash, symbol, first, last)."""
-    wanted = rows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("symbol", "first", "last")).alias("wanted"))
+    """The single windows of the chunks in ``rows`` (doc_id, text_hash, symbol, first, last). Repeated rows name a chunk once."""
+    wanted = rows.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("symbol", "first", "last")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):

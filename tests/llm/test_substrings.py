@@ -58,5 +58,19 @@ def test_texts_without_repeats(messy):
     assert (1, None) in texts and (15, want[15][1]) in texts and (8, "") in texts
 
 
+def test_windows_of_repeated_rows_grow_with_the_rows(spark):
+    rng = random.Random(3)
+    words = [str(rng.randrange(10**6)) for _ in range(160)]
+    one = [(1, " ".join(words)), (2, " ".join(["x", *words[:120], "y"]))]
+
+    def windows(copies):
+        rows = as_documents(spark, one * copies)
+        chunks = substrings.described(rows).selectExpr("doc_id", "text_hash", "explode(anchors) AS a").select("doc_id", "text_hash", "a.*")
+        return substrings._open_windows(rows, chunks, substrings.WINDOW).count()
+
+    assert windows(30) == 30 * windows(1)
+    assert rows_of(substrings.report(as_documents(spark, one * 30))) == sorted(brute.repeats(one * 30), key=repr)
+
+
 def test_nothing(nothing):
     assert substrings.report(nothing).count() == 0
