@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edupulse.llm.staging import as_bytes, stage, steps, text_or_empty
+from edupulse.llm.staging import as_bytes, free_prefix, numbered, quoted, stage, steps, text_or_empty
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -38,7 +38,7 @@ _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <=
 
 _SPAN = "struct<start:int,end:int>"
 _MATCH = "struct<item_id:string,start:int,item_start:int,n_words:int>"
-_FOUND = f"__n_words long, __spans array<{_SPAN}>, __items array<string>, __matches array<{_MATCH}>"
+_FOUND = {"n_words": "long", "spans": f"array<{_SPAN}>", "items": "array<string>", "matches": f"array<{_MATCH}>"}
 
 
 def words(text: bytes) -> list[bytes]:
@@ -189,19 +189,25 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str |
 
 
 def find(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``documents`` with __n_words, __spans (hit words), __items and __matches (longest verbatim matches)."""
+    """``documents`` with __n_words, __spans (hit words), __items and __matches (longest verbatim matches).
+
+    The four have more underscores where ``documents`` has columns that begin so (``free_prefix``).
+    """
     columns = documents.columns
-    found = documents.withColumns({
-        "__n_words": F.lit(0).cast("long"), "__spans": F.array().cast(f"array<{_SPAN}>"),
-        "__items": F.array().cast("array<string>"), "__matches": F.array().cast(f"array<{_MATCH}>")})
-    schema = T.StructType(documents.schema.fields + T.StructType.fromDDL(_FOUND).fields)
+    prefix = free_prefix(columns)
+    plain = numbered(documents)
+    carried = plain.columns
+    text_column = carried[columns.index("text")]
+    found = plain.withColumns({name: (F.lit(0) if kind == "long" else F.array()).cast(kind) for name, kind in _FOUND.items()})
+    added = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in _FOUND.items()))
+    schema = T.StructType(plain.schema.fields + added.fields)
     for i, items in enumerate(_blocks(benchmark, block_bytes)):
         shared = documents.sparkSession.sparkContext.broadcast(Windows.of(items, window))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in steps(batches):
-                results = search(as_bytes(batch.column("text")), shared.value)
-                old = [batch.column(c).to_pylist() for c in ("__spans", "__items", "__matches")]
+            for batch in steps(batches, text_column):
+                results = search(as_bytes(batch.column(text_column)), shared.value)
+                old = [batch.column(c).to_pylist() for c in ("spans", "items", "matches")]
                 spans, names, matches = [], [], []
                 for (_, new_spans, new_items, new_matches), s, n, m in zip(results, *old, strict=True):
                     both = [(x["start"], x["end"]) for x in s] + new_spans
@@ -211,12 +217,12 @@ def find(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, bl
                     matches.append(m + [dict(zip(("item_id", "start", "item_start", "n_words"), x, strict=True)) for x in new_matches])
                 kinds = {f.name: f.type for f in batch.schema}
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in columns], pa.array([r[0] for r in results], pa.int64()), pa.array(spans, kinds["__spans"]),
-                     pa.array(names, kinds["__items"]), pa.array(matches, kinds["__matches"])],
-                    names=[*columns, "__n_words", "__spans", "__items", "__matches"])
+                    [*[batch.column(c) for c in carried], pa.array([r[0] for r in results], pa.int64()), pa.array(spans, kinds["spans"]),
+                     pa.array(names, kinds["items"]), pa.array(matches, kinds["matches"])],
+                    names=[*carried, *_FOUND])
 
         found = (stage(found) if i else found).mapInArrow(scan, schema)
-    return found
+    return found.toDF(*columns, *[prefix + name for name in _FOUND])
 
 
 def report(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
@@ -230,4 +236,4 @@ def report(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW)
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """The rows of ``documents`` in which no window of the benchmark occurs."""
-    return find(documents, benchmark, window=window).where(F.size("__spans") == 0).select(*documents.columns)
+    return find(documents, benchmark, window=window).where(F.size(free_prefix(documents.columns) + "spans") == 0).select(*quoted(documents.columns))

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edupulse.llm.staging import stage, text_or_empty
+from edupulse.llm.staging import quoted, stage, text_or_empty
 from edupulse.operators.sizes import broadcast_if_small
 
 RISK = 0.02
@@ -163,7 +163,7 @@ def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def filter_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are kept."""
     limits = stage(cutoffs(stage(base_statistics(documents, "doc_id", "lang")), labels))
-    whole = documents.select(F.struct(*documents.columns).alias("_row"), "text", "lang")
+    whole = documents.select(F.struct(*quoted(documents.columns)).alias("_row"), "text", "lang")
     counted = base_statistics(whole, "_row", "lang")
     # Filters do not pass a generator, so that the statistics are computed once and not in every condition.
     numbers = [c for c in counted.columns if c != "_row"]

@@ -47,6 +47,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """The columns of these names, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def free_prefix(columns: list[str], start: str = "__") -> str:
+    """``start``, with more underscores if a column begins with it."""
+    while any(c.lower().startswith(start) for c in columns):
+        start = "_" + start
+    return start
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, …: what goes to a Python task may not have dots in its names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

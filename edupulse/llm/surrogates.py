@@ -34,8 +34,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from edupulse.llm.staging import stage, steps
+from edupulse.llm.staging import free_prefix, numbered, stage, steps
 
 KEY = "surrogates"
 MAX_EXCEPTIONS = 50_000
@@ -59,8 +60,8 @@ _WORD = r"[^\W\d_]"
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<named>(?i:(?<!\w)(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer))[\"']?[ \t]*[:=][ \t]*[\"']?(?P<value>(?=[_+/=.~-]{0,511}[A-Za-z0-9])[A-Za-z0-9_+/=.~-]{8,512}))"
-    r"|(?P<secret>(?<![\w/+-])(?=[A-Za-z_-]{0,64}\d)(?:[0-9a-fA-F]{32,128}|(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza)[A-Za-z0-9_-]{12,128})(?![\w/+-]))"
+    r"|(?P<named>(?i:(?<!\w)(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer))[\"']?[ \t]*[:=][ \t]*[\"']?(?P<value>(?=[_+/=.~-]*+[A-Za-z0-9])[A-Za-z0-9_+/=.~-]{8,}+))"
+    r"|(?P<secret>(?<![\w/+-])(?=[A-Za-z_-]*+\d)(?:[0-9a-fA-F]{32,}+|(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza)[A-Za-z0-9_-]{12,}+)(?![\w/+-]))"
     r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
@@ -375,24 +376,31 @@ def replace(text: str, key: str, attempts: dict[tuple[str, str], int] | None = N
 
 
 def pseudonymize(documents: DataFrame, key: str = KEY, *, column: str = "text") -> DataFrame:
-    """``documents`` with surrogates in ``column``, and __n_<kind> for every kind replaced."""
+    """``documents`` with surrogates in ``column``, and __n_<kind> for every kind replaced.
+
+    The counts have more underscores where ``documents`` has columns that begin so (``free_prefix``).
+    """
     current = _epoch_key(key)
     columns = documents.columns
+    new = [f"{free_prefix(columns)}n_{k}" for k in KINDS]
+    plain = numbered(documents)
+    carried = plain.columns
+    text_column = carried[columns.index(column)]
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, column):
+        for batch in steps(batches, text_column):
             texts, counts = [], np.zeros((batch.num_rows, len(KINDS)), np.int64)
-            for i, text in enumerate(batch.column(column).to_pylist()):
+            for i, text in enumerate(batch.column(text_column).to_pylist()):
                 changed, kinds = replace(text, current) if text else (text, [])
                 texts.append(changed)
                 for kind in kinds:
                     counts[i, KINDS.index(kind)] += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if c == column else batch.column(c) for c in columns] + [pa.array(counts[:, k]) for k in range(len(KINDS))],
-                names=[*columns, *[f"__n_{k}" for k in KINDS]])
+                [pa.array(texts, pa.string()) if c == text_column else batch.column(c) for c in carried] + [pa.array(counts[:, k]) for k in range(len(KINDS))],
+                names=[*carried, *KINDS])
 
-    extra = documents.select(*columns, *[F.lit(0).cast("long").alias(f"__n_{k}") for k in KINDS])
-    return documents.mapInArrow(swap, extra.schema)
+    counts = [T.StructField(k, T.LongType()) for k in KINDS]
+    return plain.mapInArrow(swap, T.StructType(plain.schema.fields + counts)).toDF(*columns, *new)
 
 
 def report(documents: DataFrame) -> DataFrame:

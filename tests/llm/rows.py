@@ -11,7 +11,8 @@ DOCUMENTS = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # Names that the operators might use themselves.
     T.StructField("words", T.StringType()), T.StructField("symbol", T.LongType()), T.StructField("key", T.StringType()),
-    T.StructField("start", T.IntegerType()), T.StructField("length", T.StringType()), T.StructField("fp", T.DoubleType()), T.StructField("n", T.LongType())])
+    T.StructField("start", T.IntegerType()), T.StructField("length", T.StringType()), T.StructField("fp", T.DoubleType()), T.StructField("n", T.LongType()),
+    T.StructField("_id", T.LongType()), T.StructField("__n_name", T.StringType()), T.StructField("__spans", T.StringType()), T.StructField("x.y", T.LongType())])
 
 
 def prose(rng: random.Random, words: int, vocabulary: int = 400) -> str:
@@ -39,5 +40,5 @@ def messy_rows() -> list[tuple[int | None, str | None]]:
 
 
 def as_documents(spark, rows):
-    full = [(i, t, "en" if k % 3 else None, f"s{k % 2}", None, "w", k, "k", k, "l", 0.5, k) for k, (i, t) in enumerate(rows)]
+    full = [(i, t, "en" if k % 3 else None, f"s{k % 2}", None, "w", k, "k", k, "l", 0.5, k, 5, "n", "s", k) for k, (i, t) in enumerate(rows)]
     return spark.createDataFrame(full, DOCUMENTS)

