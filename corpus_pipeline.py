@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edupulse.llm import decontamination, packing, quality_rules, simhash, surrogates
-from edupulse.llm.staging import ship_library, stage, table
+from edupulse.llm.staging import quoted, ship_library, stage, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def hide_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     if "n_chars" in docs.columns:
         n_chars = F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars"))
         done = done.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    return done.select(*quoted(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
