@@ -43,12 +43,15 @@ def global_ordinal(df: DataFrame, *, order_by: Sequence[str], name: str = "ordin
 def with_surrogate_key(df: DataFrame, order_cols: Sequence[str], name: str = "id") -> DataFrame:
     """Surrogate key 1..n in the order of ``order_cols``.
 
-    Rows equal in all of them are interchangeable; they get consecutive keys and, through the
-    written tie-break, still spread over several range partitions.
+    Ties go by a hash of the whole row, so a retried load gives every row the same key. Rows equal in all columns
+    are interchangeable; a counter spreads many of them over several range partitions. It is taken after a
+    local sort, so a recomputed task gives the same counters to the same rows. The only write is that of
+    ``global_ordinal``.
     """
-    tied = materialize(df.withColumn("_tie", F.monotonically_increasing_id()))
-    numbered = global_ordinal(tied, order_by=[*order_cols, "_tie"], name=name)
-    return numbered.withColumn(name, F.col(name) + 1).drop("_tie")
+    hashed = df.withColumn("_hash", F.xxhash64(*df.columns)).sortWithinPartitions(*order_cols, "_hash")
+    numbered = global_ordinal(
+        hashed.withColumn("_tie", F.monotonically_increasing_id()), order_by=[*order_cols, "_hash", "_tie"], name=name)
+    return numbered.withColumn(name, F.col(name) + 1).drop("_hash", "_tie")
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:

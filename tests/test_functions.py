@@ -95,3 +95,14 @@ def test_click_interactions(spark):
                                "code_module string, code_presentation string, id_student long, id_site long, date long, sum_click long")
     row = interactions_from_clicks(df).first()
     assert (row.type, row.topic_id, row.outcome, row.metadata) == ("resource_view", None, None, {"id_site": "9", "sum_click": "5"})
+
+
+def test_surrogate_keys_do_not_depend_on_the_order_of_the_rows(spark):
+    rows = [(i % 3, f"p{i % 17}") for i in range(400)]
+
+    def keys(data, parts):
+        df = spark.createDataFrame(data, "v long, payload string").repartition(parts)
+        return sorted((r.id, r.v, r.payload) for r in with_surrogate_key(df, ["v"]).collect())
+
+    first = keys(rows, 3)
+    assert [k for k, *_ in first] == list(range(1, 401)) and first == keys(rows[::-1], 7)
