@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edupulse.functions.scalars import ratio
 from edupulse.operators.attempts import cap_roster, roster_counts
@@ -143,10 +145,23 @@ def class_assessment(students: DataFrame, rosters: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("students_with_results"), F.avg("average_score").alias("average_score"))
 
 
+def _latest_order(df: DataFrame, time: str, tie_break: Sequence[str]) -> Column:
+    """An order for ``max_by``. A time with one whole-number tie-break becomes one decimal, which a hash aggregate
+    can hold; a struct (any other tie-break) makes Spark sort the rows first. NULLs come first in both."""
+    if not tie_break:
+        return F.col(time)
+    kinds = [df.schema[c].dataType for c in (time, *tie_break)]
+    if len(tie_break) > 1 or not isinstance(kinds[0], T.TimestampType) or not isinstance(kinds[1], T.IntegralType):
+        return F.struct(time, *tie_break)
+    # Timestamps end at about 2.5e17 microseconds either way; the factor is over the range of a long.
+    micros = F.coalesce(F.unix_micros(time), F.lit(-4 * 10**17)).cast("decimal(18,0)")
+    tie = F.coalesce(F.col(tie_break[0]).cast("long"), F.lit(-(2**63))).cast("decimal(19,0)")
+    return micros * F.lit(Decimal(2 * 10**19)) + tie
+
+
 def environment_summary(readings: DataFrame, *, key: str = "sensor_id", tie_break: Sequence[str] = ()) -> DataFrame:
     """Reading count, means, and the battery level at the latest reading."""
-    # A struct as order keeps the aggregate from hashing; only used with a tie-break.
-    latest = F.struct("recorded_at", *tie_break) if tie_break else F.col("recorded_at")
+    latest = _latest_order(readings, "recorded_at", tie_break)
     return readings.groupBy(key).agg(
         F.count(F.lit(1)).alias("reading_count"),
         F.avg("temperature_c").alias("average_temperature_c"),

@@ -219,3 +219,25 @@ def test_problem_catalogue_uses_whole_items(spark):
         "problem_id long, skills string, mean_correct double, mean_time_on_task double, student_answer_count long")
     rows = att.problems_by_skill(df).collect()
     assert sorted((r.topic_id, r.problem_id) for r in rows) == [("a", 1), ("a-2", 3), ("b", 1)]
+
+
+def test_latest_reading_needs_no_sort(spark):
+    """Extreme, null and negative times and tie-breaks keep the order of (time, tie-break); the aggregate hashes."""
+    from datetime import datetime
+
+    from edupulse.operators.summaries import environment_summary
+
+    big, low = 2**63 - 1, -(2**63)
+    times = [datetime(2020, 1, 1), datetime(1950, 5, 5), datetime(9999, 12, 31), datetime(1, 1, 2), None]
+    rows = [(s, t, e, 20.0, 40.0, 500.0, float(100 * i + j))
+            for s, chosen in enumerate([times, times[1:2], times[3:], times[4:]])
+            for i, t in enumerate(chosen) for j, e in enumerate([5, big, low, -7])]
+    df = spark.createDataFrame(
+        rows, "sensor_id long, recorded_at timestamp, event_id long, temperature_c double, humidity_pct double, co2_ppm double, battery_pct double")
+    summary = environment_summary(df, tie_break=["event_id"])
+    got = {r.sensor_id: r.latest_battery_pct for r in summary.collect()}
+    want = {}
+    for s, t, e, *_, battery in rows:
+        want[s] = max(want.get(s, (datetime.min, low - 1, 0.0)), (t or datetime.min, e, battery))
+    assert got == {s: w[2] for s, w in want.items()}
+    assert "SortAggregate" not in summary._jdf.queryExecution().executedPlan().toString()
