@@ -14,6 +14,9 @@ no link is lost.
 
 Only distinct fingerprints are linked; documents join their component at the end.
 
+``near_dedup`` links texts of a similarity of 0.8 or more (five-word shingles) as well: 64-bit
+fingerprints of such texts mostly differ in more bits than chains can search for (``jaccard``).
+
 Odd cases: a null text has no words and, like every text without words, fingerprint zero; null
 doc_ids rank after all others; repeated rows are in one component; an empty table gives no rows;
 other columns are not read (``near_dedup`` carries them along).
@@ -29,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from edupulse.llm import jaccard
 from edupulse.llm.components import connected_components
 from edupulse.llm.staging import as_bytes, stage, steps
 
@@ -45,6 +49,11 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
 def _segment_masks() -> list[int]:
     masks, low = [], 0
     for width in _SEGMENTS:
@@ -67,10 +76,10 @@ def _tables() -> list[tuple[int, int]]:
 TABLES = _tables()
 
 
-def fingerprints(documents: DataFrame, *, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """Every row's doc_id (null: the largest long), text hash and fingerprint."""
-    def one(text: bytes) -> list[int]:
-        words = text.lower().split()
+def fingerprints(documents: DataFrame, *, shingle_words: int = SHINGLE_WORDS, seed: int = SEED, sketches: bool = False) -> DataFrame:
+    """Every row's doc_id (null: the largest long), text hash and fingerprint; with ``sketches`` also
+    the shingles, bands and further min-hashes that ``jaccard`` links by."""
+    def one(words: list[bytes]) -> list[int]:
         if not words:
             return []
         if len(words) <= shingle_words:
@@ -80,19 +89,28 @@ def fingerprints(documents: DataFrame, *, shingle_words: int = SHINGLE_WORDS, se
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             out = np.zeros(batch.num_rows, np.uint64)
+            sketched = []
             for i, text in enumerate(as_bytes(batch.column("text"))):
-                hashes = np.array(one(text), ">u8")
+                words = text.lower().split()
+                hashes = np.array(one(words), ">u8")
                 if len(hashes):
                     ones = np.zeros(64, np.int64)
                     for at in range(0, len(hashes), 4096):
                         part = hashes[at: at + 4096]
                         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
                     out[i] = int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(out.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+                if sketches:
+                    found = jaccard.shingles(words)
+                    sketched.append((found, *jaccard.sketch(found)))
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(out.view(np.int64))]
+            if sketches:
+                columns += [_lists(list(arrays)) for arrays in zip(*sketched, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     # Spark's xxhash64 of a null is the seed, as of an empty text.
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(prints, "doc_id long, text_hash long, fp long")
+    names = ["doc_id", "text_hash", "fp", *(["shingles", "bands", "further"] if sketches else [])]
+    return rows.mapInArrow(prints, ", ".join(f"{n} {'long' if i < 3 else 'array<long>'}" for i, n in enumerate(names)))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -126,14 +144,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(starred).distinct()
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, similar: bool = False) -> DataFrame:
     """doc_id, text_hash, fp, component (its least fp) and component_id (the least doc_id reachable) of every row.
 
-    Several components share a component_id where doc_ids are null or repeated.
+    ``similar`` links texts of a Jaccard similarity of 0.8 or more too. Several components share a
+    component_id where doc_ids are null or repeated.
     """
-    prints = stage(fingerprints(documents))
+    sketched = stage(fingerprints(documents, sketches=similar))
+    prints = sketched.select("doc_id", "text_hash", "fp")
     classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = connected_components(links(classes.select("fp")))
+    edges = links(classes.select("fp"))
+    parts = connected_components(edges.unionByName(jaccard.links(sketched)) if similar else edges)
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     labels = named.groupBy("component").agg(F.min("least").alias("component_id"))
     component = named.join(labels, "component").select("fp", "component", "component_id")
@@ -150,9 +171,9 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def near_dedup(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that stay: of every component the one with the least doc_id (then
-    least text hash), once."""
-    rows = near_duplicates(documents)
+    """The rows of ``documents`` that stay: of every component, similar texts included, the one with
+    the least doc_id (then least text hash), once."""
+    rows = near_duplicates(documents, similar=True)
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     stay = first.select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")).distinct()
     # The row travels as one column, so no name of the table can clash.

@@ -53,6 +53,29 @@ def components(values: list[int], near: int = 2) -> list[int]:
     return [root(i) for i in range(len(values))]
 
 
+def shingles(text: str | None, width: int = 5) -> set[tuple[str, ...]]:
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i: i + width]) for i in range(max(len(words) - width + 1, 1))} if words else set()
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x or y else 0.0
+
+
+def near_copies(texts: list[str | None]) -> list[int]:
+    """The component of each text: linked by at most 2 fingerprint bits or a similarity of 0.8 or more."""
+    prints, sets = [fingerprint(t) for t in texts], [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            close = (prints[i] ^ prints[j]).bit_count() <= 2
+            if close or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+                old, new = parent[i], parent[j]
+                parent = [new if p == old else p for p in parent]
+    return parent
+
+
 def repeats(rows: list[tuple[int | None, str | None]], window: int = 50) -> list[tuple[int | None, int, int, str]]:
     first: dict[tuple[str, ...], int] = {}
     split = [(LAST if i is None else i, WORD.findall(t or "")) for i, t in rows]

@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
 def test_stages_against_plain_versions(spark, folder):
     path, rows = folder
     good = [(i, t) for i, t in rows if not ((s := brute.statistics(t))[0] < 50 or 100 * s[4] > 50 * s[0])]
-    parts = brute.components([brute.fingerprint(t) for _, t in good])
+    parts = brute.near_copies([t for _, t in good])
     first: dict[int, tuple[int, str]] = {}
     for part, (i, t) in zip(parts, good, strict=True):
         key = (brute.LAST if i is None else i, t)

@@ -61,11 +61,11 @@ def test_components_of_a_long_chain_and_a_star(spark):
 def test_one_of_each_component_stays(messy):
     kept = simhash.near_dedup(messy)
     assert kept.columns == messy.columns
-    rows = simhash.near_duplicates(messy).select("doc_id", "component").collect()
     least: dict[int, int] = {}
-    for r in rows:
-        least[r["component"]] = min(least.get(r["component"], r["doc_id"]), r["doc_id"])
-    ids = [2**63 - 1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()]
+    for part, (i, _) in zip(brute.near_copies([t for _, t in messy_rows()]), messy_rows(), strict=True):
+        key = brute.LAST if i is None else i
+        least[part] = min(least.get(part, key), key)
+    ids = [brute.LAST if r["doc_id"] is None else r["doc_id"] for r in kept.collect()]
     assert sorted(ids) == sorted(least.values())
 
 
