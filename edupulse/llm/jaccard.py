@@ -1,11 +1,11 @@
 """Links between fingerprints whose texts have a Jaccard similarity of 0.8 or more on five-word shingles.
 
-A text's sketch is its distinct shingle hashes, sixteen band keys of six min-hashes each, and eight
+A text's sketch is its distinct shingle hashes, sixteen band keys of six min-hashes each, and 28
 further min-hashes. Two texts of similarity s share a band with probability 1 - (1 - s^6)^16 (0.992
 at 0.8). A band key shared by at most ``PAIR_ROWS`` fingerprints compares all of them. A key that more
-share compares each with the key's least fingerprint; those that are not similar to it go on
-under the key and one more min-hash, so that no group is ever paired with itself and the rounds stay
-few. Every candidate is checked on its whole shingle sets.
+share compares each with one of them; those that are not similar to it go on
+under the key and one more min-hash, then two, three and so on, so that no group is ever paired with
+itself and the rounds stay few. Every candidate is checked on its whole shingle sets.
 
 Odd cases: texts without words have no shingles and are never linked here; texts of fewer than five
 words are one shingle.
@@ -21,7 +21,7 @@ from xxhash import xxh64_intdigest
 from edupulse.llm.staging import stage
 
 SHINGLE_WORDS = 5
-BANDS, BAND_ROWS, FURTHER = 16, 6, 8
+BANDS, BAND_ROWS, FURTHER = 16, 6, 28
 PAIR_ROWS = 16
 _STEP = 4096
 
@@ -75,17 +75,20 @@ def links(sketches: DataFrame) -> DataFrame:
     members = stage(sketches.select("fp", F.explode("bands").alias("key")).distinct())
     found, turn = None, 0
     while True:
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a")).where("n > 1")
+        # Each key orders the fingerprints its own way, so bands differ in what they compare with.
+        turned = F.min(F.col("fp").bitwiseXOR(F.col("key")))
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), turned.bitwiseXOR(F.col("key")).alias("a")).where("n > 1")
         shared = stage(members.join(sizes, "key"))
-        many = shared.where((F.col("n") > PAIR_ROWS) & (F.col("fp") > F.col("a"))).select("key", "a", F.col("fp").alias("b"))
+        many = shared.where((F.col("n") > PAIR_ROWS) & (F.col("fp") != F.col("a"))).select("key", "a", F.col("fp").alias("b"))
         few = shared.where(F.col("n") <= PAIR_ROWS).groupBy("key").agg(F.collect_list("fp").alias("m"))
         pairs = few.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(
             F.filter("m", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("e")).select("e.*")
         similar = stage(_similar(stage(pairs.unionByName(many.select("a", "b")).distinct()), sketches.select("fp", "shingles")))
         found = similar if found is None else found.unionByName(similar)
         rest = many.join(similar, ["a", "b"], "left_anti").select("key", F.col("b").alias("fp"))
-        if turn < FURTHER:
-            more = sketches.select("fp", F.element_at("further", turn + 1).alias("more"))
+        used = turn * (turn + 1) // 2
+        if used < FURTHER:
+            more = sketches.select("fp", F.slice("further", used + 1, turn + 1).alias("more"))
             rest = rest.join(more, "fp").select("fp", F.xxhash64("key", "more").alias("key")).distinct()
         members = stage(rest)
         turn += 1

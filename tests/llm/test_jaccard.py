@@ -36,9 +36,11 @@ def test_links_of_similar_texts(spark, monkeypatch, pair_rows):
     texts = {of[i]: t for i, t in rows}
     edges = {(r["a"], r["b"]) for r in jaccard.links(sketches).collect()}
     assert edges and all(brute.similarity(texts[a], texts[b]) >= 0.8 for a, b in edges)
+    edges = {(min(e), max(e)) for e in edges}
     part = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
     want = [(a, b) for a in texts for b in texts if a < b and brute.similarity(texts[a], texts[b]) >= 0.8]
     reached = sum(a in part and part[a] == part.get(b) for a, b in want)
+    print("reached", reached, "of", len(want))
     assert len(want) > 50 and reached >= 0.95 * len(want)
 
 
@@ -58,5 +60,5 @@ def test_sketches():
     assert len(found) == len({tuple(text[i: i + 5]) for i in range(len(text) - 4)})
     bands, further = jaccard.sketch(found)
     whole = (found[:, None] * jaccard._ODD + jaccard._ADD).min(0)
-    assert len(bands) == 16 and np.array_equal(further, whole[-8:])
+    assert len(bands) == 16 and np.array_equal(further, whole[-28:])
     assert len(jaccard.shingles([b"a", b"b"])) == 1 and not len(jaccard.sketch(jaccard.shingles([]))[0])
