@@ -1,23 +1,25 @@
 """Mastery kept current on an attempt stream.
 
 State per (student, skill) is one small value plus a buffer of rows still inside the delay. A
-rule's step is its 2x2 matrix, the same that the batch operator multiplies.
+rule's step is its 2x2 matrix, the same that the batch operator multiplies. Chains are many and short, so
+a chain costs rows and no data frame, and one read and one write of its state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from edupulse.operators.mastery import MasteryRule
 from edupulse.session import ship_package
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = ("student_id long, topic_id string, kind string, mastery double, observation_count long, "
-          "updated_at timestamp, event_id long, correct boolean")
+# Times travel as microseconds since the epoch.
+_OUTPUT = "student_id long, topic_id string, kind string, mastery double, observation_count long, us long, event_id long, correct boolean"
+_RESULT = Row(*[item.split()[0] for item in _OUTPUT.split(", ")])
 _VALUE = "mastery double, n long, last_us long, last_id long, seen_us long"
 _ROW = "us long, event_id long, correct boolean"
 
@@ -39,19 +41,17 @@ class MasteryProcessor(StatefulProcessor):
         self.value = handle.getValueState("value", _VALUE)
         self.waiting = handle.getListState("waiting", _ROW)
 
-    def _load(self) -> tuple[float, int, int, int, int]:
-        return tuple(self.value.get()) if self.value.exists() else (self.initial, 0, -(2**62), -1, -(2**62))
-
-    def _advance(self, key, rows: list[tuple[int, int, bool]], all_ready: bool) -> pd.DataFrame:
-        mastery, n, last_us, last_id, seen = self._load()
-        seen = max([seen, *(r[0] for r in rows)])
+    def _advance(self, key, new: list[tuple[int, int, bool]], buffered: list[tuple[int, int, bool]], all_ready: bool) -> Iterator[Row]:
+        mastery, n, last_us, last_id, seen = self.value.get() or (self.initial, 0, -(2**62), -1, -(2**62))
+        rows = sorted([*buffered, *new])
+        seen = max(seen, rows[-1][0]) if rows else seen
         horizon = seen if all_ready else seen - self.delay_us
-        out, keep, before = [], [], n
-        for us, event_id, correct in sorted(rows):
+        keep, before = [], n
+        for us, event_id, correct in rows:
             if (us, event_id) == (last_us, last_id):
                 continue  # delivered again
             if (us, event_id) < (last_us, last_id):
-                out.append(("late", None, None, us, event_id, correct))
+                yield _RESULT(*key, "late", None, None, us, event_id, correct)
             elif us <= horizon:
                 a, b, c, d = self.matrices[correct]
                 mastery = min(1.0, max(0.0, (a * mastery + b) / (c * mastery + d)))
@@ -59,25 +59,18 @@ class MasteryProcessor(StatefulProcessor):
             else:
                 keep.append((us, event_id, correct))
         self.value.update((mastery, n, last_us, last_id, seen))
-        self.waiting.clear()
         if keep:
             self.waiting.put(keep)
+        elif buffered:
+            self.waiting.clear()
         if n > before:
-            out.append(("state", mastery, n, last_us, None, None))
-        frame = pd.DataFrame(out, columns=["kind", "mastery", "observation_count", "us", "event_id", "correct"])
-        frame["updated_at"] = pd.to_datetime(frame.pop("us"), unit="us")
-        frame.insert(0, "student_id", key[0])
-        frame.insert(1, "topic_id", key[1])
-        return frame[_NAMES]
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [
-            (int(t.value // 1000), int(e), bool(c))
-            for part in rows
-            for t, e, c in zip(part["ts"], part["event_id"], part["correct"], strict=True)
-        ]
+            yield _RESULT(*key, "state", mastery, n, last_us, None, None)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r["us"], r["event_id"], bool(r["correct"])) for r in rows]
+        # Without a delay nothing ever waits.
         buffered = [tuple(r) for r in self.waiting.get()] if self.delay_us else []
-        yield self._advance(key, [*buffered, *new], all_ready=self.delay_us == 0)
+        yield from self._advance(key, new, buffered, all_ready=self.delay_us == 0)
         if self.idle_ms is None:
             return
         for timer in list(self.handle.listTimers()):
@@ -85,16 +78,13 @@ class MasteryProcessor(StatefulProcessor):
         if self.waiting.exists():
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, [tuple(r) for r in self.waiting.get()], all_ready=True)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._advance(key, [], [tuple(r) for r in self.waiting.get()], all_ready=True)
 
     def close(self) -> None:
         pass
 
 
-_NAMES = [item.split()[0] for item in OUTPUT.split(", ")]
-
-
 def mastery_stream(
     attempt_stream: DataFrame, *, rule: MasteryRule, delay_seconds: float = 0.0,
     idle_seconds: float | None = None,
@@ -112,6 +102,11 @@ def mastery_stream(
     matrices = {ok: tuple(map(float, rule.matrix(ok))) for ok in (True, False)}
     processor = MasteryProcessor(matrices, float(rule.initial), int(delay_seconds * 1e6),
         None if idle_seconds is None else int(idle_seconds * 1000))
-    return attempt_stream.groupBy("student_id", "topic_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Update", 
+    # A row without a time comes first, as in batch use.
+    us = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(2**53)))
+    rows = attempt_stream.select("student_id", "topic_id", us.alias("us"), "event_id", "correct")
+    found = rows.groupBy("student_id", "topic_id").transformWithState(
+        statefulProcessor=processor, outputStructType=_OUTPUT, outputMode="Update",
         timeMode="None" if idle_seconds is None else "ProcessingTime")
+    return found.select(
+        "student_id", "topic_id", "kind", "mastery", "observation_count", F.timestamp_micros("us").alias("updated_at"), "event_id", "correct")

@@ -5,7 +5,7 @@ from helpers import ATTEMPT_SCHEMA, attempts_frame, bkt_python, random_chains
 
 from edupulse.operators.advance import advance_mastery
 from edupulse.operators.mastery import CHAIN_KEYS, BktRule, EmaRule, final_mastery
-from edupulse.streaming.mastery_stream import mastery_stream
+from edupulse.streaming.mastery_stream import MasteryProcessor, mastery_stream
 from edupulse.streaming.sinks import advance_sink, append_changes, compact, read_upserted, upsert_sink
 
 KEYS = list(CHAIN_KEYS)
@@ -98,3 +98,30 @@ def test_replayed_batch_and_compaction(spark, tmp_path):
     assert rows == {(1, "d", 3), (2, "c", 1)}
     compact(spark, path, str(tmp_path / "t2"), keys=["k"])
     assert {(r.k, r.v, r.n) for r in read_upserted(spark, str(tmp_path / "t2"), keys=["k"]).collect()} == rows
+
+
+def test_a_chain_costs_one_read_and_one_write_of_state():
+    class Value:
+        calls, held = [], None
+
+        def __getattr__(self, name):
+            self.calls.append(name)
+            return {"get": lambda: self.held, "exists": lambda: self.held is not None, "update": lambda v: setattr(self, "held", v),
+                    "clear": lambda: None}[name]
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        getListState = getValueState
+
+    rule = BktRule()
+    processor = MasteryProcessor({ok: tuple(map(float, rule.matrix(ok))) for ok in (True, False)}, rule.initial, 0, None)
+    processor.init(Handle())
+    outcomes = [True, False, True]
+    for at in range(0, 3, 2):
+        rows = [{"us": i, "event_id": i, "correct": ok} for i, ok in enumerate(outcomes)][at: at + 2]
+        out = list(processor.handleInputRows((1, "a"), iter(rows), None))
+    assert Value.calls == ["get", "update"] * 2
+    assert [(r.kind, r.observation_count, r.us) for r in out] == [("state", 3, 2)]
+    assert out[0].mastery == pytest.approx(bkt_python(outcomes)[1])
