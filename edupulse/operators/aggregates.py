@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from edupulse.functions.scalars import ratio
 from edupulse.operators.clean import events_until
+from edupulse.operators.sizes import in_even_tasks
 
 COURSE = ["code_module", "code_presentation"]
 ENROLLMENT = [*COURSE, "id_student"]
 
 
-def click_rollup(raw_clicks: DataFrame) -> DataFrame:
-    """A1: clicks summed on (course, student, site, day)."""
+def click_rollup(raw_clicks: DataFrame, *, rows: int | None = None) -> DataFrame:
+    """A1: clicks summed on (course, student, site, day).
+
+    ``rows``: about how many rows there are, if the caller knows it, or 0 if they are dealt by student already; else they
+    are counted. An enrollment's rows, at most its days times its sites times a day's repeats, meet in one task.
+    """
+    raw_clicks = in_even_tasks(raw_clicks, ["id_student"], raw_clicks.count() if rows is None else rows)
     return raw_clicks.groupBy(*ENROLLMENT, "id_site", "date").agg(F.sum("sum_click").alias("sum_click"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edupulse.operators.aggregates import click_rollup
+from edupulse.operators.sizes import in_even_tasks
 
 SKILLS = ["click", "error", "purchase", "signup", "view"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -105,9 +106,16 @@ def assessments(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Line items with the customer of their order, and how many line items there are (read from the file's footers)."""
+    line = table(spark, d, "lineitem")
+    rows = line.count()
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return in_even_tasks(line, ["l_orderkey"], rows).join(orders, F.col("l_orderkey") == F.col("o_orderkey")), rows
+
+
 def submissions(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").join(
-        table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    line, _ = _lines(spark, d)
     first = line.groupBy("l_partkey", "o_custkey").agg(
         F.min("l_quantity").alias("day"), F.min("l_extendedprice").alias("price"),
         F.max("l_linenumber").alias("line"), F.max("l_discount").alias("discount"))
@@ -122,9 +130,9 @@ def submissions(spark: SparkSession, d: str) -> DataFrame:
 
 def raw_clicks(spark: SparkSession, d: str) -> DataFrame:
     course = enrollments(spark, d).select("code_module", "code_presentation", "id_student")
+    line, rows = _lines(spark, d)
     return (
-        table(spark, d, "lineitem")
-        .join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        in_even_tasks(line, ["o_custkey"], rows)
         .join(course, F.col("o_custkey") == F.col("id_student"))
         .select("code_module", "code_presentation", "id_student", F.col("l_suppkey").alias("id_site"),
                 (F.col("l_partkey") % 60).alias("date"), F.col("l_quantity").cast("long").alias("sum_click"))
@@ -132,7 +140,7 @@ def raw_clicks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clicks(spark: SparkSession, d: str) -> DataFrame:
-    return click_rollup(raw_clicks(spark, d))
+    return click_rollup(raw_clicks(spark, d), rows=0)
 
 
 def attendance(spark: SparkSession, d: str) -> DataFrame:

@@ -126,7 +126,7 @@ def attendance_snapshot(spark, d):
 
 @query
 def click_rollup(spark, d):
-    return publish(aggregates.click_rollup(v.raw_clicks(spark, d)))
+    return publish(v.clicks(spark, d))
 
 
 @query
