@@ -49,11 +49,6 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).view(np.int64)))
-
-
 def _segment_masks() -> list[int]:
     masks, low = [], 0
     for width in _SEGMENTS:
@@ -76,9 +71,11 @@ def _tables() -> list[tuple[int, int]]:
 TABLES = _tables()
 
 
-def fingerprints(documents: DataFrame, *, shingle_words: int = SHINGLE_WORDS, seed: int = SEED, sketches: bool = False) -> DataFrame:
+def fingerprints(documents: DataFrame, *, shingle_words: int = SHINGLE_WORDS, seed: int = SEED, sketches: bool = False, sets: bool = True) -> DataFrame:
     """Every row's doc_id (null: the largest long), text hash and fingerprint; with ``sketches`` also
-    the shingles, bands and further min-hashes that ``jaccard`` links by."""
+    the shingles (not without ``sets``), bands and further min-hashes that ``jaccard`` links by."""
+    more = [*(["shingles"] if sets else []), "bands", "further"] if sketches else []
+
     def one(words: list[bytes]) -> list[int]:
         if not words:
             return []
@@ -101,15 +98,15 @@ def fingerprints(documents: DataFrame, *, shingle_words: int = SHINGLE_WORDS, se
                     out[i] = int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
                 if sketches:
                     found = jaccard.shingles(words)
-                    sketched.append((found, *jaccard.sketch(found)))
+                    sketched.append((*([found] if sets else []), *jaccard.sketch(found)))
             columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(out.view(np.int64))]
             if sketches:
-                columns += [_lists(list(arrays)) for arrays in zip(*sketched, strict=True)]
+                columns += [jaccard.lists(list(arrays)) for arrays in zip(*sketched, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     # Spark's xxhash64 of a null is the seed, as of an empty text.
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    names = ["doc_id", "text_hash", "fp", *(["shingles", "bands", "further"] if sketches else [])]
+    names = ["doc_id", "text_hash", "fp", *more]
     return rows.mapInArrow(prints, ", ".join(f"{n} {'long' if i < 3 else 'array<long>'}" for i, n in enumerate(names)))
 
 
@@ -150,11 +147,11 @@ def near_duplicates(documents: DataFrame, *, similar: bool = False) -> DataFrame
     ``similar`` links texts of a Jaccard similarity of 0.8 or more too. Several components share a
     component_id where doc_ids are null or repeated.
     """
-    sketched = stage(fingerprints(documents, sketches=similar))
+    sketched = stage(fingerprints(documents, sketches=similar, sets=False))
     prints = sketched.select("doc_id", "text_hash", "fp")
     classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(classes.select("fp"))
-    parts = connected_components(edges.unionByName(jaccard.links(sketched)) if similar else edges)
+    parts = connected_components(edges.unionByName(jaccard.links(sketched, documents)) if similar else edges)
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     labels = named.groupBy("component").agg(F.min("least").alias("component_id"))
     component = named.join(labels, "component").select("fp", "component", "component_id")

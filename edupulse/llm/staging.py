@@ -83,6 +83,27 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(start)
 
 
+# Bits of the table that ``among`` sends to every task, 4 MB at most however large the tables are.
+AMONG_BITS = 1 << 25
+
+
+def among(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose value the one column of ``wanted`` may hold: all that it holds and, by hash, few others.
+
+    Goes before an exact join, so that wide rows without a partner are not moved.
+    """
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(AMONG_BITS))
+
+    free = free_prefix(df.columns)
+    at, bucket, bits = place(wanted.columns[0]), f"{free}bucket", f"{free}bits"
+    held = wanted.groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    rows = df.withColumn(bucket, F.bitmap_bucket_number(place(column)))
+    bit = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(held), bucket).where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop(bucket, bits)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each value; a null is empty."""
     return [b or b"" for b in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

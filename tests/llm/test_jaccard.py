@@ -5,10 +5,12 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from rows import as_documents, prose
 
 from edupulse.llm import jaccard, simhash
 from edupulse.llm.components import connected_components
+from edupulse.llm.staging import among
 
 
 def edited(rng: random.Random, text: str, changes: int) -> str:
@@ -62,3 +64,23 @@ def test_sketches():
     whole = (found[:, None] * jaccard._ODD + jaccard._ADD).min(0)
     assert len(bands) == 16 and np.array_equal(further, whole[-28:])
     assert len(jaccard.shingles([b"a", b"b"])) == 1 and not len(jaccard.sketch(jaccard.shingles([]))[0])
+
+
+def test_only_candidates_have_shingle_sets(spark, tmp_path, monkeypatch):
+    """What links stage and shuffle follows the texts that may be similar, not the table."""
+    rng = random.Random(6)
+    base = prose(rng, 300, 4000)
+    rows = list(enumerate([base, edited(rng, base, 2), *(prose(rng, 300, 4000) for _ in range(30))]))
+    staged = []
+    monkeypatch.setattr(jaccard, "stage", lambda df: staged.append(df.cache()) or staged[-1])
+    documents = as_documents(spark, rows)
+    sketches = simhash.fingerprints(documents, sketches=True, sets=False).cache()
+    assert "shingles" not in sketches.columns
+    assert jaccard.links(sketches, documents).count() == 1
+    assert [df.count() for df in staged if "shingles" in df.columns] == [2]
+
+
+def test_among_keeps_all_that_is_wanted(spark):
+    rows, wanted = spark.range(5000), spark.range(0, 5000, 50).select((F.col("id") * 3 - 900).alias("x"))
+    kept = {r["id"] for r in among(rows, "id", wanted).collect()}
+    assert {r["x"] for r in wanted.collect()} & set(range(5000)) <= kept and len(kept) < 150
