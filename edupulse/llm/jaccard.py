@@ -76,10 +76,10 @@ def _shingled(texts: DataFrame) -> DataFrame:
 
 
 def _sets(sketches: DataFrame, needed: DataFrame, documents: DataFrame | None) -> DataFrame:
-    """fp, shingles and further of one text of every needed fingerprint, the one with the least hash."""
+    """fp and shingles of one text of every needed fingerprint, the one with the least hash."""
     given = [] if documents is not None else ["shingles"]
-    least = among(sketches.select("fp", "text_hash", "further", *given), "fp", needed).groupBy("fp").agg(
-        F.min(F.struct("text_hash", "further", *given)).alias("one"))
+    least = among(sketches.select("fp", "text_hash", *given), "fp", needed).groupBy("fp").agg(
+        F.min(F.struct("text_hash", *given)).alias("one"))
     least = least.select("fp", "one.*")
     if documents is None:
         return stage(least.drop("text_hash"))
@@ -106,7 +106,7 @@ def links(sketches: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between similar fingerprints. ``sketches`` has fp, text_hash, bands and further, and
     shingles unless ``documents`` are given to make them of."""
     members = stage(sketches.select("fp", F.explode("bands").alias("key")).distinct())
-    sets = None
+    sets = further = None
     found, turn = None, 0
     while True:
         # Each key orders the fingerprints its own way, so bands differ in what they compare with.
@@ -114,17 +114,20 @@ def links(sketches: DataFrame, documents: DataFrame | None = None) -> DataFrame:
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), turned.bitwiseXOR(F.col("key")).alias("a")).where("n > 1")
         shared = stage(members.join(sizes, "key"))
         if sets is None:
-            sets = _sets(sketches, shared.select("fp").distinct(), documents)
+            needed = shared.select("fp").distinct()
+            sets = _sets(sketches, needed, documents)
+            # Every text of a fingerprint gives keys, so this is not one row a fingerprint.
+            further = stage(among(sketches.select("fp", "further"), "fp", needed).distinct())
         many = shared.where((F.col("n") > PAIR_ROWS) & (F.col("fp") != F.col("a"))).select("key", "a", F.col("fp").alias("b"))
         few = shared.where(F.col("n") <= PAIR_ROWS).groupBy("key").agg(F.collect_list("fp").alias("m"))
         pairs = few.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(
             F.filter("m", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("e")).select("e.*")
-        similar = stage(_similar(stage(pairs.unionByName(many.select("a", "b")).distinct()), sets.select("fp", "shingles")))
+        similar = stage(_similar(stage(pairs.unionByName(many.select("a", "b")).distinct()), sets))
         found = similar if found is None else found.unionByName(similar)
         rest = many.join(similar, ["a", "b"], "left_anti").select("key", F.col("b").alias("fp"))
         used = turn * (turn + 1) // 2
         if used < FURTHER:
-            more = sets.select("fp", F.slice("further", used + 1, turn + 1).alias("more"))
+            more = further.select("fp", F.slice("further", used + 1, turn + 1).alias("more"))
             rest = rest.join(more, "fp").select("fp", F.xxhash64("key", "more").alias("key")).distinct()
         members = stage(rest)
         turn += 1
