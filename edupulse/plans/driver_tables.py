@@ -107,16 +107,21 @@ def assessments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """Line items with the customer of their order, and how many line items there are (read from the file's footers)."""
-    line = table(spark, d, "lineitem")
+    """Line items with the customer of their order, and how many line items there are (read from the file's footers).
+
+    The tasks are sized by the longer table, so a task's orders fit a hash table and its line items need no sort.
+    """
+    line, orders = table(spark, d, "lineitem"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
     rows = line.count()
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return in_even_tasks(line, ["l_orderkey"], rows).join(orders, F.col("l_orderkey") == F.col("o_orderkey")), rows
+    longer = max(rows, orders.count())
+    orders = in_even_tasks(orders, ["o_orderkey"], longer).hint("shuffle_hash")
+    return in_even_tasks(line, ["l_orderkey"], longer).join(orders, F.col("l_orderkey") == F.col("o_orderkey")), rows
 
 
 def submissions(spark: SparkSession, d: str) -> DataFrame:
-    line, _ = _lines(spark, d)
-    first = line.groupBy("l_partkey", "o_custkey").agg(
+    line, rows = _lines(spark, d)
+    # Dealt by assessment alone: the first deliveries and their assessments then meet without another shuffle.
+    first = in_even_tasks(line, ["l_partkey"], rows).groupBy("l_partkey", "o_custkey").agg(
         F.min("l_quantity").alias("day"), F.min("l_extendedprice").alias("price"),
         F.max("l_linenumber").alias("line"), F.max("l_discount").alias("discount"))
     return first.select(

@@ -79,6 +79,8 @@ def bootstrap_ci(spark, d):
 
 
 def _split_snapshot(snapshot: DataFrame, label: str, key) -> DataFrame:
+    """The snapshot, written once, with its split: range bounds are sampled, which would make it twice."""
+    snapshot = materialize(snapshot)
     return splits.stratified_split(snapshot, label=label, key=key)
 
 
@@ -111,7 +113,7 @@ def performance_rf(spark, d):
 
 @query
 def attendance_lr(spark, d):
-    rows = materialize(snapshots.attendance_snapshot(v.attendance(spark, d), threshold=0.3))
+    rows = snapshots.attendance_snapshot(v.attendance(spark, d), threshold=0.3)
     rows = _split_snapshot(rows, "is_high_absence_day", ["school_id", "attendance_date"])
     model = c.fit_logistic(rows.where("split = 'train'"), features=f.ATTENDANCE)
     return _report(model, rows.where("split = 'test'"), "is_high_absence_day")

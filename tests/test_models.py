@@ -173,6 +173,10 @@ def test_forest_and_saving(spark, snapshot, tmp_path):
     assert c.score(again, snapshot).orderBy("id").collect() == c.score(model, snapshot).orderBy("id").collect()
 
 
+def test_forest_keeps_the_nodes_of_rows(snapshot):
+    assert c.fit_forest(snapshot, features=SET, trees=2).stages[-1].getCacheNodeIds()
+
+
 def test_one_class_is_an_error(spark, snapshot):
     with pytest.raises(ValueError):
         c.fit_logistic(snapshot.where("y = 0"), features=SET)
