@@ -28,6 +28,7 @@ ITERATION_CANDIDATES = (5, 10, 15, 20, 25, 30, 40)
 SUMS = ["l0", "chains", "trans_num", "trans_den", "slip_num", "slip_den", "guess_num", "guess_den"]
 _SUM_SCHEMA = ", ".join(f"{name} double" for name in SUMS)
 _BLOCK_CELLS = 2_000_000  # outcomes held in arrays at a time
+TASK_CELLS = 500_000  # outcomes that a task takes in an iteration
 
 
 def _bits():
@@ -200,6 +201,7 @@ class ChainStore:
 
     whole: DataFrame
     segments: DataFrame | None
+    tasks: int
 
     def close(self) -> None:
         self.whole.unpersist()
@@ -217,11 +219,14 @@ def compress_chains(attempts: DataFrame, *, max_chain: int | None = None) -> Cha
     segments = None
     if hot is not None:
         segments = hot.groupBy(*CHAIN_KEYS, SEGMENT).agg(_bits()).withColumn("weight", F.lit(1).cast("long")).persist()
-    return ChainStore(whole.persist(), segments)
+    whole = whole.persist()
+    # Every iteration starts these tasks again, so there are as many as the outcomes need and not as the shuffle left.
+    cells = whole.agg(F.sum(F.length("bits"))).first()[0] or 0
+    return ChainStore(whole, segments, max(1, -(-cells // TASK_CELLS)))
 
 
 def _em_step(store: ChainStore, rule: BktRule) -> BktRule:
-    parts = store.whole.mapInPandas(_e_step(rule), _SUM_SCHEMA)
+    parts = store.whole.coalesce(store.tasks).mapInPandas(_e_step(rule), _SUM_SCHEMA)
     if store.segments is not None:
         parts = parts.unionByName(_with_context(store.segments, rule).mapInPandas(_e_step(rule), _SUM_SCHEMA))
     row = parts.agg(*[F.sum(c).alias(c) for c in SUMS]).first()

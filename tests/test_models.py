@@ -147,6 +147,18 @@ def test_preprocess(spark, snapshot):
     assert filled["_n_x"] == pytest.approx((median - np.mean(values)) / np.std(values))
 
 
+def test_an_iteration_takes_the_tasks_its_outcomes_need(spark, monkeypatch):
+    frame = attempts_frame(spark, random_chains(students=40, length=12, seed=9))
+    store = calibrate.compress_chains(frame)
+    assert store.tasks == 1
+    store.close()
+    one = calibrate.fit_bkt(frame, n_iter=3)
+    monkeypatch.setattr(calibrate, "TASK_CELLS", 20)
+    many = calibrate.fit_bkt(frame, n_iter=3)
+    for name in ("prior", "transit", "slip", "guess"):
+        assert getattr(many, name) == pytest.approx(getattr(one, name), abs=1e-12)
+
+
 def test_balanced_logistic(spark, snapshot):
     model = c.fit_logistic(snapshot, features=SET)
     rows = c.score(model, snapshot)
