@@ -164,8 +164,9 @@ def segment_summaries(hot: DataFrame, keys: Sequence[str], order: Sequence[str],
         _matrix_product(sorted_attempts(order, correct), rule).alias("matrix"),
         F.count(F.lit(1)).alias("n"),
         F.max(order[0]).alias("last"),
+        F.element_at(sorted_attempts(order, correct), -1)[order[-1]].alias("last_id"),
     )
-    ordered = F.sort_array(F.collect_list(F.struct(SEGMENT, "n", "last", "matrix")))
+    ordered = F.sort_array(F.collect_list(F.struct(SEGMENT, "n", "last", "last_id", "matrix")))
     return per_segment.groupBy(*keys).agg(ordered.alias("segments"))
 
 

@@ -13,7 +13,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,8 +63,11 @@ class KeyedState:
         schema = T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])
         return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{version}").withColumn(VERSION, F.lit(version))
 
-    def read(self, commit: Commit | None = None, of: DataFrame | None = None) -> DataFrame:
-        """Rows in force, one per key; with ``of``, at least those of its keys."""
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def read(self, commit: Commit | None = None, of: DataFrame | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+        """Rows in force, one per key; with ``of``, at least those of its keys, with ``buckets``, those of these buckets."""
         commit = commit or self.last_commit()
         parts = [self._part("delta", v) for v in commit.deltas]
         if commit.base is not None:
@@ -76,20 +79,19 @@ class KeyedState:
             rows = rows.unionByName(part)
         if of is not None:
             # At most ``buckets`` numbers; they prune whole folders.
-            wanted = [r[0] for r in of.select(self.bucket().alias("b")).distinct().collect()]
-            rows = rows.where(F.col(BUCKET).isin(wanted))
+            buckets = [r[0] for r in of.select(self.bucket().alias("b")).distinct().collect()]
+        if buckets is not None:
+            rows = rows.where(F.col(BUCKET).isin(list(buckets)))
         if len(parts) == 1:
             return rows.select(*self.schema.names)
-        # The newest version of a key is a fixed-width maximum, so the aggregate needs no sort.
-        newest = rows.groupBy(*self.keys).agg(F.max(VERSION).alias(VERSION))
-        same = F.lit(True)
-        newest = newest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], F.col(VERSION).alias("_v"))
-        for i, k in enumerate(self.keys):
-            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        return rows.join(newest, same & (F.col(VERSION) == F.col("_v")), "left_semi").select(*self.schema.names)
+        # Rows of a key are at most one a part, so one shuffle and one sort find the newest.
+        newest = Window.partitionBy(*self.keys).orderBy(F.col(VERSION).desc())
+        rows = rows.repartition(*self.keys).withColumn("_rank", F.row_number().over(newest))
+        return rows.where("_rank = 1").select(*self.schema.names)
 
     def _write(self, rows: DataFrame, kind: str, version: int) -> None:
-        rows = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket())
+        # A bucket is one file, or a few even ones where it is large, and not one of every task.
+        rows = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket()).hint("rebalance", F.col(BUCKET))
         rows.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{kind}/{version}")
 
     def publish(self, version: int, changed: DataFrame, extra: dict | None = None) -> Commit:

@@ -7,15 +7,19 @@ of their chain: a hot chain is folded as in batch use, and no chain is a list in
 - A row whose (student, skill, time, id) was seen before is a redelivery and is dropped. Rows are remembered until they are
   ``remember_seconds`` behind the watermark, waiting rows always.
 - A row that comes before the last applied row of its chain cannot be applied any more. It goes to the side table
-  ``late``, once, and never into a state.
+  ``late``, once, and never into a state. A row without a time comes before all others.
 - ``finish`` ends a bounded run: what still waits is applied as if the watermark had passed it.
 
-Everything of a batch is written under the batch's number and becomes visible with the commit of the keyed state, so a replayed batch gives
-the same tables. The cost of a batch follows its own rows, the buffer and the chains that it touches, not the age of the stream.
+A batch writes its rows and the waiting ones once, by what became of them (``applied``, ``late``, ``waiting``), under its own number. Rows after
+the newest applied time cannot be late and are compared with waiting rows only; the others meet the remembered rows of their span of time.
+Everything becomes visible with the commit of the keyed state, so a replayed batch gives the same tables. The cost of a batch
+follows its own rows, the buffer and the chains that it touches, not the age of the stream.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,15 +27,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from edupulse.operators.advance import advance_mastery
 from edupulse.operators.mastery import CHAIN_KEYS, MasteryRule
-from edupulse.session import materialize
+from edupulse.operators.sizes import in_even_tasks
 from edupulse.streaming.keyed_state import Commit, KeyedState
 
 IDENTITY = (*CHAIN_KEYS, "ts", "event_id")
 _FAR = 2**62
+# Folders of remembered rows that a batch may have to read; more are merged into one.
+_PARTS = 16
 
 
 def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    """The time of a row, with rows without one before all others."""
+    return F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-_FAR))
 
 
 class OrderedMastery:
@@ -45,65 +52,112 @@ class OrderedMastery:
         self.spark, self.path, self.rule = spark, path.rstrip("/"), rule
         self.delay, self.remember = int(delay_seconds * 1e6), int(remember_seconds * 1e6)
         self.rows = T.StructType([attempts[c] for c in (*IDENTITY, "correct")])
-        self.window_schema = T.StructType([*self.rows.fields, T.StructField("applied", T.BooleanType())])
         schema = T.StructType([
             *[attempts[k] for k in CHAIN_KEYS], T.StructField("mastery", T.DoubleType()), T.StructField("observation_count", T.LongType()),
             T.StructField("updated_at", attempts["ts"].dataType), T.StructField("last_id", attempts["event_id"].dataType)])
         self.state = KeyedState(spark, f"{self.path}/state", schema=schema, keys=CHAIN_KEYS, **state)
 
-    def _table(self, kind: str, version: int | None, schema: T.StructType) -> DataFrame:
-        if version is None or version < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{version}")
+    def _part(self, version: int) -> str:
+        return f"{self.path}/rows/version={version}"
+
+    def _read(self, versions: Sequence[int], where: str) -> DataFrame:
+        """The rows that these batches wrote, of some kinds."""
+        if not versions:
+            return self.spark.createDataFrame([], self.rows)
+        schema = T.StructType([*self.rows.fields, T.StructField("version", T.LongType()), T.StructField("kind", T.StringType())])
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/rows").parquet(*[self._part(v) for v in versions])
+        return rows.where(where).select(*self.rows.names)
 
     def states(self) -> DataFrame:
         return self.state.read().drop("last_id")
 
     def late(self) -> DataFrame:
         """Rows that came after a later row of their chain was applied."""
-        versions = self.state.last_commit().extra.get("late", [])
-        return self.spark.read.schema(self.rows).parquet(*[f"{self.path}/late/{v}" for v in versions]) if versions else self.spark.createDataFrame([], self.rows)
+        return self._read(self.state.last_commit().extra.get("late", []), "kind = 'late'")
 
     def waiting(self) -> DataFrame:
-        commit = self.state.last_commit()
-        return self._table("window", commit.version, self.window_schema).where("NOT applied").drop("applied")
+        return self._waiting(self.state.last_commit())
+
+    def _waiting(self, commit: Commit) -> DataFrame:
+        return self._read([commit.version] if commit.version >= 0 else [], "kind = 'waiting'")
+
+    def _settled(self, commit: Commit) -> DataFrame:
+        """Applied and late rows that are still remembered."""
+        versions = [part["version"] for part in commit.extra.get("settled", [])]
+        merged = [part["version"] for part in commit.extra.get("settled", []) if part["merged"]]
+        # A merged part holds its own batch's rows too.
+        found = self._read(versions, f"CASE WHEN version IN ({', '.join(map(str, merged)) or 'NULL'}) THEN kind = 'merged' ELSE kind IN ('applied', 'late') END")
+        return found.where(_micros("ts") > F.lit(commit.extra["watermark"] - self.remember))
+
+    def _unseen(self, new: DataFrame, waiting: DataFrame, settled: DataFrame, rows: int) -> DataFrame:
+        """New and waiting rows (``_waits``), each once and as first delivered, without those that are settled."""
+        parts = [df.select(*self.rows.names, F.lit(rank).alias("_rank")) for rank, df in enumerate((new, waiting, settled))]
+        found = in_even_tasks(parts[0].unionByName(parts[1]).unionByName(parts[2]), IDENTITY, rows)
+        of_rank = [F.max(F.when(F.col("_rank") == rank, F.col("correct"))).alias(f"_correct{rank}") for rank in (0, 1)]
+        found = found.groupBy(*IDENTITY).agg(F.max("_rank").alias("_rank"), *of_rank).where("_rank < 2")
+        waits = F.col("_rank") == 1
+        return found.select(*IDENTITY, F.when(waits, F.col("_correct1")).otherwise(F.col("_correct0")).alias("correct"), waits.alias("_waits"))
+
+    def _is_late(self, rows: DataFrame, stored: DataFrame) -> DataFrame:
+        """``rows`` with ``_late``: they come before the last applied row of their chain."""
+        marks = stored.select(*[F.col(k).alias(f"_{k}") for k in CHAIN_KEYS], F.col("updated_at").alias("_at"), F.col("last_id").alias("_id"), F.lit(True).alias("_any"))
+        same = F.lit(True)
+        for k in CHAIN_KEYS:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        before = (F.col("ts") < F.col("_at")) | ((F.col("ts") == F.col("_at")) & (F.col("event_id") <= F.col("_id"))) | (F.col("ts").isNull() & F.col("_any"))
+        found = rows.join(marks, same, "left")
+        return found.select(*rows.columns, (~F.col("_waits") & F.coalesce(before, F.lit(False))).alias("_late"))
 
     def apply(self, batch: DataFrame, version: int, *, flush: bool = False) -> None:
-        """One micro-batch. Versions ascend; the same version again replaces what it wrote before."""
+        """One micro-batch. Versions ascend; the same version again replaces what it wrote before. ``batch`` is evaluated up to three times."""
         old = self.state.last_commit(before=version)
-        window = self._table("window", old.version, self.window_schema)
-        new = batch.select(*self.rows.names).dropDuplicates(list(IDENTITY))
-        seen = window.select(*[F.col(c).alias(f"_{c}") for c in IDENTITY])
-        known = F.lit(True)
-        for c in IDENTITY:
-            known = known & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        new = materialize(new.join(seen, known, "left_anti"))
-        newest = new.agg(F.max(_micros("ts"))).first()[0]
-        mark = max(old.extra.get("watermark", -_FAR), -_FAR if newest is None else newest - self.delay, _FAR if flush else -_FAR)
+        new, waiting, us = batch.select(*self.rows.names), self._waiting(old), _micros("ts")
+        # Redeliveries are no newer than what came before, so they need not be known here.
+        is_new = [df.select(*CHAIN_KEYS, us.alias("_us"), F.lit(n).alias("_new")) for df, n in ((new, True), (waiting, False))]
+        of_new = F.when(F.col("_new"), F.col("_us"))
+        seen = is_new[0].unionByName(is_new[1]).agg(
+            F.min(of_new).alias("low"), F.max(of_new).alias("high"), F.min("_us").alias("first"), F.max("_us").alias("last"),
+            F.count(F.lit(1)).alias("n"), F.collect_set(self.state.bucket()).alias("buckets")).first()
+        newest = -_FAR if seen["high"] is None else max(seen["high"] - self.delay, -_FAR)
+        mark = max(old.extra.get("watermark", -_FAR), newest, _FAR if flush else -_FAR)
         # A flush applies what waits; it does not tell the time.
-        kept_mark = old.extra.get("watermark", -_FAR) if flush else mark
-
-        stored = self.state.read(old, of=new.unionByName(window.where("NOT applied").drop("applied")))
-        placed = new.join(stored.select(*CHAIN_KEYS, F.col("updated_at").alias("_at"), F.col("last_id").alias("_id")), list(CHAIN_KEYS), "left")
-        is_late = F.coalesce((F.col("ts") < F.col("_at")) | ((F.col("ts") == F.col("_at")) & (F.col("event_id") <= F.col("_id"))), F.lit(False))
-        placed = materialize(placed.withColumn("_late", is_late).drop("_at", "_id"))
-        placed.where("_late").select(*self.rows.names).write.mode("overwrite").parquet(f"{self.path}/late/{version}")
-
-        open_rows = placed.where("NOT _late").select(*self.rows.names).unionByName(window.where("NOT applied").drop("applied"))
-        is_ready = _micros("ts") <= F.lit(mark)
-        open_rows = open_rows.withColumn("applied", is_ready)
-        settled = placed.where("_late").select(*self.rows.names).withColumn("applied", F.lit(True)).unionByName(window.where("applied"))
-        remembered = open_rows.unionByName(settled)
-        remembered.where(~F.col("applied") | (_micros("ts") > F.lit(kept_mark - self.remember))).write.mode("overwrite").parquet(f"{self.path}/window/{version}")
-        ready = open_rows.where("applied").drop("applied")
-        changed = advance_mastery(stored, ready, self.rule)
-        # The last row of a chain: its newest time, then the largest id at that time.
-        at = ready.join(ready.groupBy(*CHAIN_KEYS).agg(F.max("ts").alias("_at")), list(CHAIN_KEYS)).where(F.col("ts") == F.col("_at"))
-        changed = changed.join(at.groupBy(*CHAIN_KEYS).agg(F.max("event_id").alias("last_id")), list(CHAIN_KEYS))
+        kept_mark = max(old.extra.get("watermark", -_FAR), newest)
+        # No row after this time was applied.
+        reach = old.extra.get("reach", -_FAR - 1)
+        stored = self.state.read(old, buckets=seen["buckets"])
+
+        nothing = self.spark.createDataFrame([], self.rows)
+        if seen["high"] is None:
+            placed = waiting.withColumn("_late", F.lit(False))
+        else:
+            after, upto = us > F.lit(reach), us <= F.lit(reach)
+            placed = self._unseen(new.where(after), waiting.where(after), nothing, seen["n"]).withColumn("_late", F.lit(False))
+            if seen["first"] <= reach:
+                settled = self._settled(old).where(upto & (us >= F.lit(seen["low"])))
+                n = seen["n"] + sum(part["rows"] for part in old.extra.get("settled", []))
+                earlier = self._unseen(new.where(upto), waiting.where(upto), settled, n)
+                placed = placed.unionByName(self._is_late(earlier, stored))
+        kind = F.when(F.col("_late"), "late").when(us <= F.lit(mark), "applied").otherwise("waiting")
+        placed.select(*self.rows.names, kind.alias("kind")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static").partitionBy("kind").parquet(self._part(version))
+
+        changed = advance_mastery(stored, self._read([version], "kind = 'applied'"), self.rule, last_id="last_id")
         late = [v for v in old.extra.get("late", []) if v < version]
-        if not placed.where("_late").isEmpty():
+        if self.state.exists(f"{self._part(version)}/kind=late"):
             late.append(version)
-        self.state.publish(version, changed, {"watermark": kept_mark, "late": late})
+        reach = max(reach, min(mark, -_FAR if seen["last"] is None else seen["last"]))
+        settled = [*old.extra.get("settled", []), {"version": version, "reach": reach, "rows": seen["n"], "merged": False}]
+        extra = {"watermark": kept_mark, "reach": reach, "late": late, "settled": [p for p in settled if p["reach"] > kept_mark - self.remember]}
+        self.state.publish(version, changed, self._merged(version, extra))
+
+    def _merged(self, version: int, extra: dict) -> dict:
+        """``extra`` with its many parts of remembered rows written as one."""
+        if len(extra["settled"]) <= _PARTS:
+            return extra
+        rows = self._settled(Commit(version, extra=extra))
+        rows.write.mode("overwrite").parquet(f"{self._part(version)}/kind=merged")
+        n = self._read([version], "kind = 'merged'").count()
+        return extra | {"settled": [{"version": version, "reach": extra["reach"], "rows": n, "merged": True}]}
 
     def finish(self) -> None:
         """Applies all waiting rows. Rows of these chains that come later still are late."""

@@ -3,11 +3,13 @@ from __future__ import annotations
 import random
 from datetime import timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import START, bkt_python
 from pyspark.sql import types as T
 
 from edupulse.operators.mastery import BktRule
+from edupulse.streaming import ordered_mastery
 from edupulse.streaming.keyed_state import KeyedState
 from edupulse.streaming.ordered_mastery import OrderedMastery
 
@@ -122,3 +124,70 @@ def test_a_commit_names_what_a_version_reads(spark, tmp_path):
     assert [tuple(r) for r in state.read().collect()] == [(1, "1")]
     plan = state.read()._jdf.queryExecution().toString()
     assert "SortAggregate" not in plan
+
+
+def in_order(n, rows=40):
+    """Batch ``n`` of a stream in order."""
+    return [(i % 4, "a", START + timedelta(minutes=n * rows + i), n * rows + i, i % 3 > 0) for i in range(rows)]
+
+
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
+    """However many rows are remembered."""
+    keyed = OrderedMastery(spark, str(tmp_path / "s"), SCHEMA, rule=BktRule(), delay_seconds=60, remember_seconds=1e6)
+    batches = [in_order(n) for n in range(6)]
+    for n, batch in enumerate(batches):
+        keyed.apply(spark.createDataFrame(batch, SCHEMA), 2 * n)
+    # Of another time, and all of it seen before.
+    keyed.apply(spark.createDataFrame(batches[0] + batches[3], SCHEMA), 12)
+    keyed.finish()
+    check(keyed, *plain(batches, timedelta(minutes=1))[:2])
+    written = sum(pq.read_metadata(f).num_rows for f in (tmp_path / "s").rglob("*.parquet") if "state" not in f.relative_to(tmp_path).parts)
+    # The last minute of a batch waits and is written again by the next.
+    assert written <= 6 * 40 + 8 * 2
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_parts_of_remembered_rows_are_merged(spark, tmp_path, monkeypatch, seed):
+    monkeypatch.setattr(ordered_mastery, "_PARTS", 2)
+    batches = arrivals(seed, rows=200, batches=6)
+    keyed = OrderedMastery(spark, str(tmp_path / "s"), SCHEMA, rule=BktRule(), delay_seconds=1200, remember_seconds=1e6)
+    for n, batch in enumerate(batches):
+        keyed.apply(spark.createDataFrame(batch + (batches[n - 3][::3] if n >= 3 else []), SCHEMA), 2 * n)
+        assert len(keyed.state.last_commit().extra["settled"]) <= 2
+    keyed.finish()
+    again = [batch + (batches[n - 3][::3] if n >= 3 else []) for n, batch in enumerate(batches)]
+    check(keyed, *plain(again, timedelta(minutes=20))[:2])
+
+
+def test_rows_that_wait_after_a_flush(spark, tmp_path):
+    """A flush goes ahead of the watermark, so rows before the flushed ones may wait."""
+    keyed = OrderedMastery(spark, str(tmp_path / "s"), SCHEMA, rule=BktRule(), delay_seconds=3600, remember_seconds=1e6)
+    first, second, third = [(s, "a", START + timedelta(minutes=m), s, True) for s, m in ((1, 100), (2, 90), (3, 120))]
+    keyed.apply(spark.createDataFrame([first], SCHEMA), 0)
+    keyed.finish()
+    keyed.apply(spark.createDataFrame([second], SCHEMA), 2)
+    assert [r.student_id for r in keyed.waiting().collect()] == [2]
+    keyed.apply(spark.createDataFrame([third], SCHEMA), 4)
+    keyed.apply(spark.createDataFrame([second, second, first], SCHEMA), 6)
+    assert sorted(r.student_id for r in keyed.waiting().collect()) == [2, 3]
+    keyed.finish()
+    check(keyed, {(r[0], "a"): [(r[2], r[3], True)] for r in (first, second, third)}, [])
+
+
+def test_rows_without_a_student_or_a_time(spark, tmp_path):
+    """They make chains like any other; a row without a time comes before all others."""
+    keyed = OrderedMastery(spark, str(tmp_path / "s"), SCHEMA, rule=BktRule(), delay_seconds=0, remember_seconds=1e6)
+    nobody = [(None, "a", START + timedelta(minutes=m), m, m % 2 == 0) for m in range(4)]
+    early, late = (1, "a", None, 7, False), (1, "a", None, 8, False)
+    known = (1, "a", START, 9, True)
+    keyed.apply(spark.createDataFrame([*nobody[:2], early, known], SCHEMA), 0)
+    keyed.apply(spark.createDataFrame([*nobody[2:], late], SCHEMA), 2)
+    want = {(None, "a"): [r[2:] for r in nobody], (1, "a"): [early[2:], known[2:]]}
+    check(keyed, want, [late])
+
+
+def test_a_bucket_is_not_a_file_of_every_task(spark, tmp_path):
+    state = KeyedState(spark, str(tmp_path / "t"), schema=TABLE, keys=["k"], buckets=4)
+    state.publish(0, spark.range(1000).selectExpr("id AS k", "string(id) AS v").repartition(20))
+    assert len(list((tmp_path / "t" / "delta").rglob("*.parquet"))) <= 8
+    assert state.read().count() == 1000
